@@ -6,19 +6,24 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from toponexus.llm import block_repeats
+from toponexus.llm import block_repeats, suffix_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100, with_text=False).drop("kept")
+
+
 def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_repeats.remove_repeats(_table(spark, sf_dir, "documents"), window=13, block=7, with_text=False).drop("kept_text")
 
 
 #: Queries by name.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_suffix_repeats": op3_suffix_repeats,
     "op9_block_repeats": op9_block_repeats,
 }
 
