@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from toponexus.llm import block_repeats, suffix_repeats
+from toponexus.llm import block_repeats, packing, suffix_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +18,10 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100, with_text=False).drop("kept")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False).drop("ids")
+
+
 def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_repeats.remove_repeats(_table(spark, sf_dir, "documents"), window=13, block=7, with_text=False).drop("kept_text")
 
@@ -24,6 +29,7 @@ def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Queries by name.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_repeats": op3_suffix_repeats,
+    "op6_packing": op6_packing,
     "op9_block_repeats": op9_block_repeats,
 }
 
