@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from toponexus.llm import chunks as C
-from toponexus.llm.hashing import BYTE_VALUES, prefix_sums, rolling_hashes
+from toponexus.llm.hashing import BYTE_VALUES, mix, prefix_sums, rolling_hashes
 
 #: Bits of an anchor's hash in the first exchange; a chance meeting only adds suffixes to the sort.
 ANCHOR_BITS = 48
@@ -60,7 +60,8 @@ class Anchors:
         new[1:] = at[1:] != at[:-1]
         first = np.flatnonzero(new)
         last = np.concatenate([first[1:], [len(at)]]) - 1 if len(first) else first
-        self.at, self.hashes = at[first], hashes[at[first]]
+        # scrambled once more: anchors have small hashes, and buckets are cut from the top bits
+        self.at, self.hashes = at[first], mix(hashes[at[first]])
         #: Distances from the anchor's windows to the anchor, least and most.
         self.near, self.far = self.at - starts[last], self.at - starts[first]
         self.doc = np.searchsorted(chunk.offsets, self.at, "right") - 1
