@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from toponexus.llm import block_repeats, packing, suffix_repeats
+from toponexus.llm import block_repeats, packing, simhash_pairs, suffix_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100, with_text=False).drop("kept")
 
 
+def op5_simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_pairs.near_duplicates(_table(spark, sf_dir, "documents"), words=3)
+
+
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False).drop("ids")
 
@@ -29,6 +33,7 @@ def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Queries by name.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_repeats": op3_suffix_repeats,
+    "op5_simhash_pairs": op5_simhash_pairs,
     "op6_packing": op6_packing,
     "op9_block_repeats": op9_block_repeats,
 }
