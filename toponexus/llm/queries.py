@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from toponexus.llm import block_repeats, packing, simhash_pairs, suffix_repeats
+from toponexus.llm import block_repeats, langid, packing, simhash_pairs, suffix_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,13 @@ def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100, with_text=False).drop("kept")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    network = langid.fit(docs.where(~langid.held_out("doc_id")), "doc_id", "text", "lang")
+    marked = docs.select("doc_id", langid.held_out("doc_id").alias("held_out"), "text")
+    return langid.identify(marked, network, "text", keep=["doc_id", "held_out"])
+
+
 def op5_simhash_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_pairs.near_duplicates(_table(spark, sf_dir, "documents"), words=3)
 
@@ -33,6 +40,7 @@ def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Queries by name.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_repeats": op3_suffix_repeats,
+    "op4_langid": op4_langid,
     "op5_simhash_pairs": op5_simhash_pairs,
     "op6_packing": op6_packing,
     "op9_block_repeats": op9_block_repeats,
