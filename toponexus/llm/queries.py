@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from toponexus.llm import block_repeats, langid, packing, simhash_pairs, suffix_repeats
+from toponexus.llm import block_repeats, langid, line_templates, packing, simhash_pairs, suffix_repeats
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_repeats.remove_repeats(_table(spark, sf_dir, "documents"), window=13, block=7, with_text=False).drop("kept_text")
 
 
+def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.drop_recurring(_table(spark, sf_dir, "documents"), min_docs=10, min_tokens=3, with_text=False).drop("kept_text")
+
+
 #: Queries by name.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_repeats": op3_suffix_repeats,
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_simhash_pairs": op5_simhash_pairs,
     "op6_packing": op6_packing,
     "op9_block_repeats": op9_block_repeats,
+    "op10_line_templates": op10_line_templates,
 }
 
 ORACLES: dict[str, str] = {
@@ -65,6 +70,24 @@ ORACLES: dict[str, str] = {
                sha256(coalesce(t, '')) AS kept_sha256
         FROM words LEFT JOIN kept ON kept.doc_id = words.doc_id
     """,
+    "op10_line_templates": r"""
+        WITH parts AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),
+        lines AS (
+            SELECT doc_id, p, l[p] AS line, regexp_extract_all(l[p], '[^\x20\x09-\x0D]+') AS w
+            FROM parts, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS p)),
+        templates AS (
+            SELECT doc_id, p, line, CASE WHEN len(w) >= 3 THEN
+                   array_to_string([CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END FOR x IN w], ' ') END AS t
+            FROM lines),
+        recurring AS (
+            SELECT t, min(doc_id) AS d FROM templates WHERE t IS NOT NULL GROUP BY t HAVING count(DISTINCT doc_id) >= 10),
+        marked AS (
+            SELECT v.doc_id, p, line, r.t IS NOT NULL AND r.d <> v.doc_id AS gone
+            FROM templates v LEFT JOIN recurring r ON r.t = v.t)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id
+    """,
 }
 
 
