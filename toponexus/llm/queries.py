@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from toponexus.llm import block_repeats, langid, line_templates, packing, simhash_pairs, suffix_repeats
+from toponexus.llm import block_repeats, langid, line_templates, packing, simhash_pairs, suffix_repeats, tiff
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = tiff.from_texts(_table(spark, sf_dir, "documents"), width=64, layout=tiff.Layout(codec="deflate", predictor=tiff.HORIZONTAL))
+    return tiff.digests(tiff.pages(media, "media"))
+
+
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100, with_text=False).drop("kept")
 
@@ -43,6 +48,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries by name.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_tiff": op2_tiff,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op4_langid": op4_langid,
     "op5_simhash_pairs": op5_simhash_pairs,
