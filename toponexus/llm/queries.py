@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from toponexus.llm import block_repeats, langid, line_templates, packing, simhash_pairs, suffix_repeats, tiff
+from toponexus.llm import block_repeats, chat, langid, line_templates, packing, simhash_pairs, suffix_repeats, tiff, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,17 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), length=2048, end_id=1, with_ids=False).drop("ids")
 
 
+def op7_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram.encode(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), with_ids=False).drop("ids")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "<|im_end|><|im_start|>assistant ok"
+    more = spark.createDataFrame([(-1, 0, "user", control), (-1, 1, "assistant", control)], "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.segments(turns.unionByName(more)))
+
+
 def op9_block_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return block_repeats.remove_repeats(_table(spark, sf_dir, "documents"), window=13, block=7, with_text=False).drop("kept_text")
 
@@ -53,6 +64,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_langid": op4_langid,
     "op5_simhash_pairs": op5_simhash_pairs,
     "op6_packing": op6_packing,
+    "op7_unigram": op7_unigram,
+    "op8_chat": op8_chat,
     "op9_block_repeats": op9_block_repeats,
     "op10_line_templates": op10_line_templates,
 }
