@@ -62,9 +62,9 @@ def rolling_hashes(sums: np.ndarray, width: int, kind: str) -> np.ndarray:
     return mix((sums[width:] - sums[:-width]) * _powers(kind, -1, n))
 
 
-def spans_of_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+def spans_of_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word of the concatenated documents; no word crosses an offset."""
-    word = ~IS_SPACE[data]
+    word = ~breaks[data]
     if not len(data):
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
     first = word.copy()

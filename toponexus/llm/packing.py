@@ -9,9 +9,12 @@ it needs no exchange of tokens. Only the last sequence is not full.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import repeat
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +25,16 @@ from pyspark.sql import Window as W
 
 from toponexus.llm import storage
 from toponexus.llm.chunks import column_bytes
-
-#: Words whose ids a worker keeps at once; beyond it the table starts anew.
-WORDS_KEPT = 400_000
+from toponexus.llm.hashing import BYTE_VALUES, mix, prefix_sums, range_hashes, spans_of_words
+
+#: Words whose ids a worker keeps at once; beyond it those met seldom make room.
+WORDS_KEPT = 1_500_000
+#: Bytes that part words here; other white space stays inside a word and is the tokenizer's.
+_BREAKS = np.zeros(256, dtype=bool)
+_BREAKS[[10, 32]] = True
+_SECOND_VALUES = mix(BYTE_VALUES + np.uint64(1))
+#: The parts of a lower-case ASCII word without an apostrophe: letters, a digit, other signs.
+_PLAIN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+").findall
 TOKENS_SCHEMA = "part int, doc_id long, local_start long, doc_tokens long, ids binary"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -33,45 +43,129 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer file, with the ids of each word looked up once.
 
     The file's splitting rules never join what white space parts, so a text's ids are those of its
-    space- and newline-separated words in turn.
+    space- and newline-separated words in turn. Words are told apart by two 64-bit hashes, taken over
+    all bytes of a batch at once; only words that are new to the worker are encoded. The rules also
+    part letters from other signs: a word's plain parts are encoded many at once, and each ends in
+    exactly one id whose piece closes a part.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self._reset()
-
-    def _reset(self) -> None:
-        self.known: dict[str, int] = {}
-        self.starts = [0]
-        self.flat: list[int] = []
-        self.table: tuple[np.ndarray, np.ndarray] | None = None
-
-    def _learn(self, words: list[str]) -> None:
-        for word, found in zip(words, self.tokenizer.encode_batch_fast(words, add_special_tokens=False), strict=True):
-            self.known[word] = len(self.starts) - 1
-            self.flat += found.ids
-            self.starts.append(len(self.flat))
-        self.table = None
-
-    def batch(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all texts and each text's count."""
-        if len(self.known) > WORDS_KEPT:
-            self._reset()
-        split = [text.replace("\n", " ").split(" ") for text in texts]  # other white space is the tokenizer's
-        words = [word for part in split for word in part]
-        if new := [word for word in dict.fromkeys(words) if word not in self.known]:
-            self._learn(new)
-        if self.table is None:
-            self.table = np.array(self.starts, dtype=np.int64), np.array(self.flat, dtype=np.uint32)
-        starts, flat = self.table
-        index = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
-        sizes = starts[index + 1] - starts[index]
-        ends = np.cumsum(sizes)
-        ids = flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts[index] - (ends - sizes), sizes)]
-        bounds = np.concatenate([[0], np.cumsum([len(part) for part in split])]).astype(np.int64)
-        return ids, np.diff(np.concatenate([[0], ends])[bounds])
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        vocabulary = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        if suffix:
+            self.closes[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
+        self._start()
+
+    def _start(self) -> None:
+        self.known: dict[int, int] = {}
+        self.second = np.zeros(1 << 16, dtype=np.uint64)
+        self.sizes, self.starts, self.uses = (np.zeros(1 << 16, dtype=np.int64) for _ in range(3))
+        self.flat = np.zeros(1 << 18, dtype=np.uint32)
+        self.count = self.filled = 0
+
+    def _add(self, firsts: np.ndarray, seconds: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
+        while self.count + len(sizes) > len(self.sizes):
+            self.sizes, self.starts, self.uses, self.second = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts, self.uses, self.second))
+        while self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        ends = self.filled + np.cumsum(sizes)
+        own = slice(self.count, self.count + len(sizes))
+        self.sizes[own], self.starts[own], self.second[own], self.uses[own] = sizes, ends - sizes, seconds, 0
+        self.flat[self.filled : self.filled + len(flat)] = flat
+        self.known.update(zip(firsts.tolist(), range(self.count, self.count + len(sizes)), strict=True))
+        self.count += len(sizes)
+        self.filled += len(flat)
+
+    def _forget(self) -> None:
+        """Make room: words met once go, and beyond half the room those met less than the median."""
+        uses = self.uses[: self.count]
+        stay = uses > 1
+        if stay.sum() > WORDS_KEPT // 2:
+            stay &= uses > np.median(uses[stay])
+        firsts = np.fromiter(self.known, dtype=np.uint64, count=self.count)[stay]
+        seconds, sizes, starts = self.second[: self.count][stay], self.sizes[: self.count][stay], self.starts[: self.count][stay]
+        flat = self.flat[_ranges(starts, sizes)]
+        self._start()
+        self._add(firsts, seconds, sizes, flat)
+
+    def _encode(self, words: list[str]) -> list[np.ndarray]:
+        return [np.array(found.ids, dtype=np.uint32) for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _parts(self, parts: list[str]) -> list[np.ndarray]:
+        """Ids of parts that the rules do not split."""
+        out: list[np.ndarray] = []
+        groups = [parts[a : a + 256] for a in range(0, len(parts), 256)]
+        for group, ids in zip(groups, self._encode([" ".join(group) for group in groups]), strict=True):
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(group) and ends[-1] == len(ids):
+                ends = ends.tolist()
+                out += [ids[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+            else:
+                out += self._encode(group)
+        return out
+
+    def ids_of(self, words: list[str]) -> list[np.ndarray]:
+        """Ids of each word."""
+        parts: dict[str, int] = {}
+        plan: list[list[int] | None] = []
+        odd = []
+        for word in words:
+            low = word.lower()
+            if low.isascii() and "'" not in low and "<|" not in low:
+                plan.append([parts.setdefault(part, len(parts)) for part in ([low] if low.isalpha() else _PLAIN(low))])
+            elif low.isalpha() and is_normalized("NFC", word):
+                plan.append([parts.setdefault(low, len(parts))])
+            elif low[:-1].isalpha() and low[-1] in ".," and is_normalized("NFC", word):
+                plan.append([parts.setdefault(low[:-1], len(parts)), parts.setdefault(low[-1], len(parts))])
+            else:
+                plan.append(None)
+                odd.append(word)
+        found, others = self._parts(list(parts)), iter(self._encode(odd))
+        none = np.zeros(0, dtype=np.uint32)
+        return [next(others) if p is None else found[p[0]] if len(p) == 1 else np.concatenate([none, *(found[i] for i in p)]) for p in plan]
+
+    def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, given as concatenated UTF-8, and each text's count."""
+        if self.count > WORDS_KEPT:
+            self._forget()
+        starts, ends = spans_of_words(data, offsets, _BREAKS)
+        first = range_hashes(prefix_sums(BYTE_VALUES[data], "bytes"), starts, ends, "bytes")
+        second = range_hashes(prefix_sums(_SECOND_VALUES[data], "words"), starts, ends, "words")
+        order = np.argsort(first)
+        ordered = first[order]
+        new = np.ones(len(ordered), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        group = np.cumsum(new) - 1
+        distinct, sample = ordered[new], order[new]
+        if (second[order] != second[sample][group]).any():
+            raise RuntimeError("two words share a 64-bit hash")
+        index = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), dtype=np.int64, count=len(distinct))
+        fresh = np.flatnonzero(index < 0)
+        if len(fresh):
+            body, a, b = data.tobytes(), starts[sample[fresh]].tolist(), ends[sample[fresh]].tolist()
+            ids = self.ids_of([body[x:y].decode() for x, y in zip(a, b, strict=True)])
+            index[fresh] = np.arange(self.count, self.count + len(fresh))
+            self._add(distinct[fresh], second[sample[fresh]], np.array([len(x) for x in ids], dtype=np.int64), np.concatenate(ids))
+        if (self.second[index] != second[sample]).any():
+            raise RuntimeError("two words share a 64-bit hash")
+        self.uses[index] += np.bincount(group, minlength=len(distinct))
+        of_word = np.empty(len(starts), dtype=np.int64)
+        of_word[order] = index[group]
+        sizes = self.sizes[of_word]
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return self.flat[_ranges(self.starts[of_word], sizes)], np.diff(total[np.searchsorted(starts, offsets)])
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The concatenated ranges [start, start + size)."""
+    ends = np.cumsum(sizes)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(starts - (ends - sizes), sizes)
+    return out
 
 
 @lru_cache(maxsize=2)
@@ -83,12 +177,11 @@ def _tokens(path: str, end_id: int, batch_bytes: int = 1 << 21):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, part, at = tokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
-            _, offsets = column_bytes(batch.column(1))
+            data, offsets = column_bytes(batch.column(1))
             a = 0
             while a < batch.num_rows:
                 b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + batch_bytes, "right")) - 1)
-                texts = [x or "" for x in batch.column(1).slice(a, b - a).to_pylist()]
-                ids, counts = words.batch(texts)
+                ids, counts = words.batch(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 sizes = counts + 1
                 ends = np.cumsum(sizes)
                 full = np.full(int(ends[-1]), end_id, dtype="<u4")
@@ -155,5 +248,5 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     totals = tokens.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     # one row per partition of the input, not per document
     before = totals.select("part", (F.sum("total").over(W.orderBy("part")) - F.col("total")).alias("base"))
-    placed = tokens.join(before, "part")
+    placed = tokens.join(F.broadcast(before), "part")
     return placed.select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "doc_tokens", "ids").mapInArrow(_cut(length, with_ids), PIECES_SCHEMA)
