@@ -6,14 +6,19 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from toponexus.llm import block_repeats, chat, langid, line_templates, packing, simhash_pairs, suffix_repeats, tiff, unigram
+from toponexus.llm import block_repeats, chat, langid, line_templates, packing, posting_lists, simhash_pairs, suffix_repeats, tiff, unigram
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posting_lists.search(_table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0, "vec_id", "embedding", k=20)
+
+
 def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = tiff.from_texts(_table(spark, sf_dir, "documents"), width=64, layout=tiff.Layout(codec="deflate", predictor=tiff.HORIZONTAL))
     return tiff.digests(tiff.pages(media, "media"))
@@ -59,6 +64,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries by name.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_posting_lists": op1_posting_lists,
     "op2_tiff": op2_tiff,
     "op3_suffix_repeats": op3_suffix_repeats,
     "op4_langid": op4_langid,
