@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from toponexus.llm import block_repeats, chat, langid, line_templates, packing, posting_lists, simhash_pairs, suffix_repeats, tiff, unigram
 
 
@@ -64,6 +65,7 @@ def op10_line_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Queries by name.
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "pipeline": corpus_pipeline.run,
     "op1_posting_lists": op1_posting_lists,
     "op2_tiff": op2_tiff,
     "op3_suffix_repeats": op3_suffix_repeats,

@@ -25,6 +25,8 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from toponexus.llm import chunks as C
 from toponexus.llm.hashing import BYTE_VALUES, mix, prefix_sums, rolling_hashes
@@ -67,6 +69,12 @@ class Anchors:
         self.doc = np.searchsorted(chunk.offsets, self.at, "right") - 1
 
 
+@F.pandas_udf(T.StringType())
+def text_of(kept: pd.Series) -> pd.Series:
+    """The remaining bytes as text; bytes that are no whole character are left out."""
+    return kept.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+
 def _anchor_runs(length: int, gram: int, bits: int):
     def kernel(chunk: C.Chunk):
         keys = np.unique(Anchors(chunk, length, gram).hashes >> np.uint64(64 - ANCHOR_BITS))
