@@ -1 +1 @@
-"""See the package README."""
+"""Column functions: names, service answers, letters, similarity."""

@@ -1 +1 @@
-"""See the package README."""
+"""Relational, phrase and assignment operators."""

@@ -1 +1 @@
-"""See the package README."""
+"""Pipelines put together from the operators."""

@@ -1 +1 @@
-"""See the package README."""
+"""Readers, workbooks and service providers."""
