@@ -42,7 +42,7 @@ def word_cache(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(schemas.TOKENS).json(path).where("token is not null")
     if not rows.isEmpty():
         return rows
-    whole = spark.read.option("wholetext", True).text(path)
+    whole = spark.read.text(path, wholetext=True)
     return whole.select(F.explode(F.from_json("value", "map<string, array<string>>")).alias("token", "cands"))
 
 
