@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from toponexus import sinks
-from toponexus.functions import responses, similarity, text
+from toponexus.functions import responses, similarity, text, translit
 from toponexus.operators import assignment, phrases, relational
 from toponexus.plans import linkage, lookups
+from toponexus.sources import providers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,7 +114,7 @@ def threshold_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         pairs AS (SELECT n_nationkey AS id, n_name AS key, name, ord, CAST(levenshtein(lower(n_name), lower(name)) AS DOUBLE) AS distance FROM nation, names)
     SELECT id, key, name, distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY distance, ord) AS rn FROM pairs) WHERE rn = 1"""
 )
-def nearest_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cross_argmin_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = relational.ordered_distinct(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_partkey").alias("ord")), "name", "ord")
     keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("key"))
     best = relational.nearest(keys, names, ["id", "key"], similarity.edit_distance(F.col("key"), F.col("name")), "ord")
@@ -517,3 +518,110 @@ def linkage_optimal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def linkage_sequential(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _linkage(spark, sf_dir, linkage.sequential()).review
+
+
+@query("SELECT p_partkey, contains(p_name, 'el') AS has_el, p_name LIKE 'r%' AS from_r FROM part")
+def substring_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_name").contains("el").alias("has_el"), F.col("p_name").startswith("r").alias("from_r"))
+
+
+@query("SELECT s.s_suppkey, arg_max(o_orderkey, o_orderkey) AS o_orderkey, count(*) AS n FROM supplier s JOIN orders o ON o.o_custkey = s.s_suppkey GROUP BY s.s_suppkey")
+def exact_join_lastwins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    joined = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "orders"), F.col("o_custkey") == F.col("s_suppkey"))
+    return joined.groupBy("s_suppkey").agg(F.max_by("o_orderkey", "o_orderkey").alias("o_orderkey"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    """WITH m AS (SELECT DISTINCT n_nationkey AS a, n_regionkey AS b FROM nation WHERE n_regionkey <> 2)
+    SELECT s_suppkey, b AS region, s_nationkey AS a FROM supplier JOIN m ON m.a = s_nationkey
+    UNION ALL SELECT s_suppkey, NULL, s_nationkey FROM supplier WHERE s_nationkey NOT IN (SELECT a FROM m)"""
+)
+def translate_and_unmapped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("a"), F.when(F.col("n_regionkey") != 2, F.col("n_regionkey")).alias("region"))
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("a"))
+    mapped, unmapped = relational.translate_keys(rows, mapping, "a", "region")
+    return mapped.select("s_suppkey", "region", "a").unionByName(unmapped.select("s_suppkey", F.lit(None).cast("int").alias("region"), "a"))
+
+
+@query(
+    f"""WITH {_OPTIONS}, flat AS (SELECT p_partkey, unnest(p) AS via, unnest(range(0, len(p))) AS pos FROM phrases),
+        scored AS (SELECT p_partkey, via, pos, CAST(levenshtein(via, 'bleu bague') AS DOUBLE) AS distance FROM flat)
+    SELECT p_partkey, via, distance FROM (SELECT *, row_number() OVER (PARTITION BY p_partkey ORDER BY distance, pos) AS rn FROM scored) WHERE rn = 1"""
+)
+def best_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flat = _phrases(spark, sf_dir, None).select("p_partkey", F.posexplode("phrases").alias("pos", "via"))
+    distance = similarity.edit_distance(F.col("via"), F.lit("bleu bague"))
+    best = flat.groupBy("p_partkey").agg(F.min_by(F.struct("via", distance.alias("distance")), F.struct(distance, "pos")).alias("x"))
+    return best.select("p_partkey", "x.via", "x.distance")
+
+
+@query("SELECT * FROM (VALUES (0, 'albyr@'), (1, ' al-hy'), (2, 'wady khald'), (3, 'hy alwady'), (4, 'mnar@-albhr'), (5, 'byt mry'), (6, 'al'), (7, 'alhy alqdym')) AS t(id, latin)")
+def latin_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _literals(spark, ARABIC_NAMES).select("id", translit.latin_column(F.col("name")).alias("latin"))
+
+
+GLUED = ["el kantara", "kfar el din", "al ain", "beirut", "elmal"]
+
+
+@query("SELECT * FROM (VALUES (0, 'elkantara', 'elkantara|elelkantara|kantara'), (1, 'kfar eldin', 'kfar eldin'), (2, 'alain', 'alain|elalain|ain'), (3, 'beirut', 'beirut|elbeirut'), (4, 'elmal', 'elmal|elelmal|mal|elm')) AS t(id, glued, variants)")
+def article_gluing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    glued = text.glue_article(F.col("name"))
+    return _literals(spark, GLUED).select("id", glued.alias("glued"), F.array_join(text.article_variants(glued), "|").alias("variants"))
+
+
+@query("""SELECT event_id, CAST(json_extract(json_extract_string(to_json({'data': props}), '$.data'), '$.k') AS BIGINT) AS k FROM events""")
+def nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = table(spark, sf_dir, "events").select("event_id", F.to_json(F.struct(F.col("props").alias("data"))).alias("body"))
+    return packed.select("event_id", F.from_json(F.get_json_object("body", "$.data"), "k bigint")["k"].alias("k"))
+
+
+@query("SELECT id, CAST(score AS DOUBLE) AS score FROM (VALUES (0, 100), (1, 80), (2, 80), (3, 0)) AS t(id, score)")
+def partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = spark.createDataFrame([(0, "abc", "xxabcxx"), (1, "abcde", "xabxdex"), (2, "abc", "bcd"), (3, "", "x")], "id int, a string, b string")
+    return pairs.select("id", F.round(similarity.similarity("partial_ratio", F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query("SELECT id, best, CAST(100 AS DOUBLE) AS score FROM (VALUES (0, 'بيت مري'), (1, 'البيرة'), (2, 'وادي خالد')) AS t(id, best)")
+def script_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases against names in Arabic script, with and without article and locality words."""
+    phrases_of = spark.createDataFrame([(0, "بيت مري"), (1, "بيرة"), (2, "خالد")], "id int, phrase string")
+    names = _literals(spark, ARABIC_NAMES).select(F.col("id").alias("ord"), F.trim("name").alias("best"))
+    scored = phrases_of.join(names, F.lit(True)).withColumn("score", similarity.similarity("script_score", F.col("best"), F.col("phrase")))
+    return relational.top_k(scored, "id", "score", "ord", 1).select("id", "best", "score")
+
+
+def _towns(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, "row_id long, name string, district string, counterpart string")
+
+
+@query("SELECT * FROM (VALUES ('ar', 0, 'A'), ('ar', 1, 'kept'), ('ar', 2, NULL), ('en', 0, 'ا'), ('en', 1, NULL), ('en', 2, NULL)) AS t(side, row_id, counterpart)")
+def town_bridge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arabic = _towns(spark, [(0, "ا", "d", None), (1, "ب", "d", "kept"), (2, "ج", "d", None)])
+    english = _towns(spark, [(0, "A", "d", None), (1, "B", "d", None), (2, "C", "d", None)])
+    towns = [spark.createDataFrame(list(enumerate(names)), "row_id long, town string") for names in (["ا", "ب"], ["A", "B"])]
+    new_arabic, new_english = lookups.bridge(arabic, english, *towns)
+    return new_arabic.select(F.lit("ar").alias("side"), "row_id", "counterpart").unionByName(new_english.select(F.lit("en").alias("side"), "row_id", "counterpart"))
+
+
+@query("SELECT * FROM (VALUES (0, 'Bsharri', true), (1, 'x', false), (2, NULL, false), (3, 'Sour', false)) AS t(row_id, counterpart, asked)")
+def geocode_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    english = _towns(spark, [(0, "Bcharre", "d", None), (1, "Done", "d", "x"), (2, "Nowhere", "d", None), (3, "Tyre", "d", None)])
+    cache = spark.createDataFrame([("Tyre", "Sour")], "key string, value string")
+    filled, _ = lookups.geocode(english, cache, providers.from_mapping({"Bcharre": [PLACES[0]], "Nowhere": ["[]"]}))
+    return filled.select("row_id", "counterpart", (F.col("openMapsData") != "").alias("asked"))
+
+
+@query("SELECT * FROM (VALUES (0, 'الكفر'), (1, 'بيت مري'), (3, 'الميناء')) AS t(row_id, match)")
+def dictionary_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = spark.createDataFrame([(0, "El Kfar"), (1, "Beit-Mery"), (2, "None"), (3, "Mina")], "row_id long, name string")
+    master = spark.createDataFrame([("الكفر",), ("بيت مري",), ("الميناء",)], "name string")
+    answers = spark.createDataFrame([("elkfar", ["x", "الكفر"]), ("beit", ["بيت"]), ("mery", ["ميري", "مري"]), ("elmina", ["الميناء"])], "token string, cands array<string>")
+    return lookups.dictionary_lookup(names, master, answers).select("row_id", "match")
+
+
+@query("SELECT * FROM (VALUES ('a', 'x'), ('miss', ''), ('b', 'B'), ('bad', '')) AS t(token, cands)")
+def provider_through_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cache = spark.createDataFrame([("a", ["x"]), ("miss", [])], "token string, cands array<string>")
+    keys = spark.createDataFrame([("a",), ("miss",), ("b",), ("b",), ("bad",)], "token string")
+    found = providers.ask_through_cache(keys, cache, "token", providers.from_mapping({"b": ["B"]}), workers=2)
+    return found.select("token", F.array_join("cands", ",").alias("cands"))
