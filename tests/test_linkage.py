@@ -23,6 +23,9 @@ def test_ratios():
         for kernel in (ratio, token_set_ratio, partial_ratio):
             assert kernel(a, b) == pytest.approx(kernel(b, a))
             assert 0 <= kernel(a, b) <= 100
+        if a and b:
+            stretches = [(x, y[max(0, e - len(x)) : e]) for x, y in ((a, b), (b, a)) if len(x) <= len(y) for e in range(1, len(y) + len(x))]
+            assert partial_ratio(a, b) == pytest.approx(max(ratio(x, y) for x, y in stretches))
         table = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
         for i, j in itertools.product(range(len(a)), range(len(b))):
             table[i + 1, j + 1] = table[i, j] + 1 if a[i] == b[j] else max(table[i, j + 1], table[i + 1, j])

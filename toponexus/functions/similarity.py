@@ -41,6 +41,7 @@ def ratio(a: str, b: str) -> float:
     return 200.0 * common_length(a, b) / total if total else 100.0
 
 
+@lru_cache(maxsize=1 << 12)
 def token_set_ratio(a: str, b: str) -> float:
     """The best ratio among the shared words, and the shared words with the rest of either side."""
     left, right = set(a.split()), set(b.split())
@@ -62,25 +63,38 @@ def token_set_ratio(a: str, b: str) -> float:
     return best
 
 
-def _partial(short: str, long: str) -> float:
+def _beginnings(a: str, b: str, count: int) -> list[int]:
+    """Common lengths of ``a`` with the first 1, 2, ... ``count`` signs of ``b``, in one pass."""
+    places: dict[str, int] = {}
+    for i, sign in enumerate(a):
+        places[sign] = places.get(sign, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    out = []
+    for sign in b[:count]:
+        hit = row & places.get(sign, 0)
+        row = (row + hit | row - hit) & full
+        out.append(len(a) - row.bit_count())
+    return out
+
+
+def _partial(short: str, long: str, best: float) -> float:
+    """The best ratio of ``short`` against windows of its length in ``long``, cut off at both ends; ``best`` if none is better."""
     n, m = len(short), len(long)
-    best = 0.0
-    for end in range(1, m + n):  # windows of the short length, cut off at both ends
-        window = long[max(0, end - n) : min(m, end)]
-        if 200.0 * min(n, len(window)) / (n + len(window)) > best:
-            best = max(best, ratio(short, window))
-            if best == 100.0:
-                break
+    for common in (_beginnings(short, long, n), _beginnings(short[::-1], long[::-1], n)):
+        best = max(best, *(200.0 * c / (n + k) for k, c in enumerate(common, 1)))
+    if m > n + 1 and 100.0 * common_length(short, long) / n > best:  # no window shares more than the whole does
+        for start in range(1, m - n):
+            best = max(best, ratio(short, long[start : start + n]))
     return best
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter text against any stretch of the longer one."""
+def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
+    """The best ratio of the shorter text against any stretch of the longer one; ``floor`` if that is not reached."""
     if not a or not b:
-        return 100.0 if a == b else 0.0
+        return 100.0 if a == b else floor
     if len(a) == len(b):
-        return max(_partial(a, b), _partial(b, a))
-    return _partial(*sorted((a, b), key=len))
+        return _partial(b, a, _partial(a, b, floor))
+    return _partial(*sorted((a, b), key=len), floor)
 
 
 _SPLIT = re.compile(r"[\s\-–—]+").split
@@ -111,7 +125,8 @@ def word_score(english: str, arabic: str) -> float:
     for word in _latin_words(arabic):
         if word == english:
             return 100.0
-        best = max(best, token_set_ratio(english, word), partial_ratio(english, word))
+        best = max(best, token_set_ratio(english, word))
+        best = partial_ratio(english, word, best)
     return best
 
 
