@@ -153,7 +153,7 @@ def _finish(window: int, bits: int, with_text: bool):
                 "doc_id": chunk.given_ids(),
                 "n_words": words.counts,
                 "n_removed": words.counts - np.diff(kept_bounds),
-                "kept_text": [x.decode("utf-8", "replace") for x in slices] if with_text else None,
+                "kept_text": [x.decode("utf-8", "replace") for x in slices] if with_text else pd.Series([None] * len(chunk), dtype=object),
                 "kept_sha256": [hashlib.sha256(x).hexdigest() for x in slices],
             }
         )
@@ -161,19 +161,19 @@ def _finish(window: int, bits: int, with_text: bool):
     return kernel
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block: int = 7, with_text: bool = True, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 13, block: int = 7, with_text: bool = True, chunk_bytes: int = C.CHUNK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Drop each word covered by a window of ``window`` words that also starts in a document with a smaller id.
 
     Returns doc_id, n_words, n_removed, kept_text (null unless ``with_text``) and kept_sha256, a row
     for each row of ``docs``. Null text counts as no words; a null id sorts after all others and null
-    ids are equal; rows that share an id do not remove words from one another. Other columns of
-    ``docs`` are not read. An empty table gives an empty result. ``docs`` must read alike each time:
+    ids are equal; rows that share an id do not remove words from one another. Of other columns
+    only those of ``carry`` are read; they follow as one column ``row``. An empty table gives an empty result. ``docs`` must read alike each time:
     a table, a file scan or a checkpoint.
     """
     if window < 2 * block - 1:
         raise ValueError("a window must hold a whole reference block: window >= 2 * block - 1")
     bits = C.bucket_bits(docs.sparkSession)
-    packed = C.pack(docs, id_col, text_col, chunk_bytes)
+    packed = C.pack(docs, id_col, text_col, chunk_bytes, carry)
     hits = C.answer(packed.mapInArrow(C.each_chunk(_first_runs(block, bits)), C.RUN_SCHEMA), _candidates)
     found = C.answer(C.meet_runs(packed, hits, _second_runs(block, window, bits)), _repeats)
-    return C.meet(packed, found, _finish(window, bits, with_text), SCHEMA)
+    return C.meet(packed, found, _finish(window, bits, with_text), C.row_schema(docs, SCHEMA, carry))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from toponexus.llm.storage import small_batches
+
 SEGMENT_SCHEMA = "conv_id long, turn_no long, part string, segment string, loss boolean, valid boolean, last boolean"
 DIGEST_SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
@@ -117,7 +119,7 @@ def segments(turns: DataFrame, template: Template | None = None, partitions: int
     role and text, so repeated rows stay. An empty table gives an empty result. Other columns are
     not read.
     """
-    rows = turns.select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
+    rows = small_batches(turns).select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     count = partitions or int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = rows.repartition(count, "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return placed.mapInArrow(_segments(template or Template()), SEGMENT_SCHEMA)

@@ -11,6 +11,8 @@ in another order, names would not meet and the job would fail rather than give w
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 from collections.abc import Callable, Iterator
 
@@ -21,10 +23,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from toponexus.llm.storage import small_batches
+
 CHUNK_BYTES = 2 << 20
 #: Stands for a null id in sort order: after every other.
 NULL_ID = np.iinfo(np.int64).max
-CHUNK_SCHEMA = "chunk string, body binary"
+CHUNK_SCHEMA = "chunk string, body binary, rest binary"
 RUN_SCHEMA = "bucket int, chunk string, run binary, side binary"
 ANSWER_SCHEMA = "chunk string, bucket int, answer binary, side binary"
 
@@ -80,6 +84,13 @@ def column_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers outlive their tasks, and the allocator keeps what kernels freed."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 class Chunk:
     """Ids (as given and as sort keys), offsets and bytes of the documents of one chunk."""
 
@@ -101,14 +112,17 @@ class Chunk:
 def _pack_rows(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        rest: list[pa.RecordBatch] = []
         size = 0
 
         def release() -> pa.RecordBatch:
             ids, known, lengths, data = (np.concatenate(x) for x in zip(*held, strict=True))
             raw = np.int64(len(ids)).tobytes() + ids.tobytes() + lengths.tobytes() + known.tobytes() + data.tobytes()
             name = hashlib.blake2b(ids.tobytes() + lengths.tobytes() + hashlib.blake2b(data.tobytes()).digest() + place, digest_size=12).hexdigest()
+            carried = squeeze(_to_ipc(rest)) if rest else None
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([squeeze(raw)], pa.binary())], ["chunk", "body"])
+            rest.clear()
+            return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([squeeze(raw)], pa.binary()), pa.array([carried], pa.binary())], ["chunk", "body", "rest"])
 
         # equal chunks of different partitions keep different names
         from pyspark import TaskContext
@@ -126,6 +140,8 @@ def _pack_rows(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + max(0, chunk_bytes - size), "right")) - 1)
                 end = min(end, len(keys))
                 held.append((keys[at:end], known[at:end], np.diff(offsets[at : end + 1]), data[offsets[at] : offsets[end]]))
+                if batch.num_columns > 2:
+                    rest.append(batch.select([2]).slice(at, end - at))
                 size += int(offsets[end] - offsets[at]) + 64 * (end - at)
                 at = end
                 if size >= chunk_bytes:
@@ -135,14 +151,28 @@ def _pack_rows(chunk_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
         if held:
             place = f"{part}:{count}".encode()
             yield release()
+        give_back()
 
     return run
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """Rows (chunk, body) that hold all of ``docs``; shuffled once by chunk, so that later steps on chunks meet in place."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    packed = rows.mapInArrow(_pack_rows(chunk_bytes), CHUNK_SCHEMA)
+def _to_ipc(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema) as stream:
+        for batch in batches:
+            stream.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def pack(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """Rows (chunk, body, rest) that hold all of ``docs``; shuffled once by chunk, so that later steps on chunks meet in place.
+
+    ``rest`` holds the columns ``carry``, so that a result gets them without a join.
+    """
+    rows = [F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")]
+    if carry:
+        rows.append(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"))
+    packed = small_batches(docs).select(*rows).mapInArrow(_pack_rows(chunk_bytes), CHUNK_SCHEMA)
     return packed.repartition(partitions(docs.sparkSession), "chunk")
 
 
@@ -162,6 +192,7 @@ def each_chunk(kernel: Callable[[Chunk], Iterator[tuple]]) -> Callable[[Iterator
         for batch in batches:
             for name, body in zip(batch.column(0), batch.column(1), strict=True):
                 yield _runs(name.as_py(), kernel(Chunk(body.as_py())))
+                give_back()
 
     return run
 
@@ -187,34 +218,53 @@ def answer(runs: DataFrame, reducer: Callable[[list[bytes]], list[bytes]]) -> Da
         answers = pd.Series([None] * len(rows), dtype=object)
         if full.any():
             answers[full] = reducer(rows["run"][full].tolist())
+        give_back()
         return pd.DataFrame({"chunk": rows["chunk"], "bucket": rows["bucket"], "answer": answers, "side": rows["side"]})
 
     return runs.groupBy("bucket").applyInPandas(reduce, ANSWER_SCHEMA)
 
 
+def _found(name: str, bodies: pa.Table, answers: pa.Table) -> tuple[Chunk, dict[int, bytes], bytes | None]:
+    if bodies.num_rows != 1 or not answers.num_rows:
+        raise RuntimeError(f"chunk {name} was packed anew in another order; read the documents from a table or a checkpoint")
+    side = [x for x in answers["side"].to_pylist() if x is not None]
+    got = {b: a for b, a in zip(answers["bucket"].to_pylist(), answers["answer"].to_pylist(), strict=True) if a is not None}
+    return Chunk(bodies["body"][0].as_py()), got, side[0] if side else None
+
+
+def row_schema(docs: DataFrame, schema: str, carry: list[str] | None) -> str:
+    """A result's schema with the carried columns in one column ``row``."""
+    return f"{schema}, row {docs.select([f'`{c}`' for c in carry]).schema.simpleString()}" if carry else schema
+
+
 def meet(chunks: DataFrame, answers: DataFrame, kernel: Callable[[Chunk, dict[int, bytes], bytes | None], pd.DataFrame], schema: str) -> DataFrame:
-    """``kernel`` on each chunk together with the answers to its runs, by bucket."""
+    """``kernel`` on each chunk together with the answers to its runs, by bucket; carried columns follow as ``row``."""
+
+    empty = {"kept": pa.binary(), "kept_text": pa.string(), "doc_id": pa.int64()}
 
-    def run(name: tuple, bodies: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if len(bodies) != 1 or not len(found):
-            raise RuntimeError(f"chunk {name[0]} was packed anew in another order; read the documents from a table or a checkpoint")
-        side = found["side"].dropna()
-        got = {int(b): a for b, a in zip(found["bucket"], found["answer"], strict=True) if a is not None}
-        return kernel(Chunk(bodies["body"].iloc[0]), got, side.iloc[0] if len(side) else None)
+    def run(key: tuple, bodies: pa.Table, found: pa.Table) -> pa.Table:
+        out = pa.Table.from_pandas(kernel(*_found(key[0].as_py(), bodies, found)), preserve_index=False)
+        for i, field in enumerate(out.schema):  # a column of nulls alone has no type yet
+            if pa.types.is_null(field.type):
+                out = out.set_column(i, field.name, out.column(i).cast(empty[field.name]))
+        rest = bodies["rest"][0].as_py()
+        if rest is not None:
+            out = out.append_column("row", pa.ipc.open_stream(expand(rest)).read_all().column(0))
+        give_back()
+        return out
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, schema)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, schema)
 
 
 def meet_runs(chunks: DataFrame, answers: DataFrame, kernel: Callable[[Chunk, dict[int, bytes], bytes | None], Iterator[tuple]]) -> DataFrame:
     """As ``meet``, giving the runs of a next exchange."""
 
-    def run(name: tuple, bodies: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
-        if len(bodies) != 1 or not len(found):
-            raise RuntimeError(f"chunk {name[0]} was packed anew in another order; read the documents from a table or a checkpoint")
-        got = {int(b): a for b, a in zip(found["bucket"], found["answer"], strict=True) if a is not None}
-        return _runs(name[0], kernel(Chunk(bodies["body"].iloc[0]), got, None)).to_pandas()
+    def run(key: tuple, bodies: pa.Table, found: pa.Table) -> pa.Table:
+        out = pa.Table.from_batches([_runs(key[0].as_py(), kernel(*_found(key[0].as_py(), bodies, found)))])
+        give_back()
+        return out
 
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(run, RUN_SCHEMA)
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, RUN_SCHEMA)
 
 
 def split_sorted(keys: np.ndarray, key_bits: int, bits: int) -> list[tuple[int, int, int]]:

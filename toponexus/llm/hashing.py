@@ -15,11 +15,18 @@ _POWERS: dict[tuple[str, int], np.ndarray] = {}
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit integers."""
-    x = x ^ (x >> U64(30))
+    return _mix_in_place(x.copy())
+
+
+def _mix_in_place(x: np.ndarray) -> np.ndarray:
+    moved = x >> U64(30)
+    x ^= moved
     x *= U64(0xBF58476D1CE4E5B9)
-    x ^= x >> U64(27)
+    np.right_shift(x, U64(27), out=moved)
+    x ^= moved
     x *= U64(0x94D049BB133111EB)
-    x ^= x >> U64(31)
+    np.right_shift(x, U64(31), out=moved)
+    x ^= moved
     return x
 
 
@@ -34,7 +41,7 @@ def _powers(kind: str, sign: int, n: int) -> np.ndarray:
     table = _POWERS.get((kind, sign))
     if table is None or len(table) < n:
         base = _MULTIPLIERS[kind] if sign > 0 else pow(_MULTIPLIERS[kind], -1, 1 << 64)
-        size = max(1 << 16, 1 << max(n - 1, 1).bit_length())
+        size = -(-n // (1 << 18)) * (1 << 18)
         table = np.full(size, base, dtype=np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
@@ -44,14 +51,27 @@ def _powers(kind: str, sign: int, n: int) -> np.ndarray:
 
 def prefix_sums(values: np.ndarray, kind: str) -> np.ndarray:
     """The sums S for 64-bit values, with S[0] = 0."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * _powers(kind, 1, len(values)), out=out[1:])
-    return out
+    out = np.empty(len(values) + 1, dtype=np.uint64)
+    out[0] = 0
+    np.multiply(values, _powers(kind, 1, len(values)), out=out[1:])
+    return np.cumsum(out, out=out)
+
+
+def byte_sums(data: np.ndarray, values: np.ndarray = BYTE_VALUES) -> np.ndarray:
+    """``prefix_sums`` of a value for each byte."""
+    out = np.empty(len(data) + 1, dtype=np.uint64)
+    out[0] = 0
+    np.take(values, data, out=out[1:])
+    out[1:] *= _powers("bytes", 1, len(data))
+    return np.cumsum(out, out=out)
 
 
 def range_hashes(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: str) -> np.ndarray:
     """A mixed hash for each range [start, end)."""
-    return mix((sums[ends] - sums[starts]) * _powers(kind, -1, len(sums))[starts])
+    out = sums[ends]
+    out -= sums[starts]
+    out *= _powers(kind, -1, len(sums))[starts]
+    return _mix_in_place(out)
 
 
 def rolling_hashes(sums: np.ndarray, width: int, kind: str) -> np.ndarray:
@@ -59,7 +79,9 @@ def rolling_hashes(sums: np.ndarray, width: int, kind: str) -> np.ndarray:
     n = len(sums) - width
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    return mix((sums[width:] - sums[:-width]) * _powers(kind, -1, n))
+    out = sums[width:] - sums[:-width]
+    out *= _powers(kind, -1, n)
+    return _mix_in_place(out)
 
 
 def spans_of_words(data: np.ndarray, offsets: np.ndarray, breaks: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -82,7 +104,7 @@ class Words:
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         self.starts, self.ends = spans_of_words(data, offsets)
-        self.hashes = range_hashes(prefix_sums(BYTE_VALUES[data], "bytes"), self.starts, self.ends, "bytes")
+        self.hashes = range_hashes(byte_sums(data), self.starts, self.ends, "bytes")
         #: Position of each document's first word, and of the end.
         self.bounds = np.searchsorted(self.starts, offsets)
         self.counts = np.diff(self.bounds)
@@ -91,3 +113,44 @@ class Words:
     def room(self, width: int) -> np.ndarray:
         """Whether a window of ``width`` words that starts at each word stays in its document."""
         return np.arange(len(self.doc)) + width <= self.bounds[1:][self.doc]
+
+
+class HashTable:
+    """Numbers for 64-bit keys by open addressing, looked up many at a time."""
+
+    def __init__(self, room: int = 1 << 16):
+        self.keys, self.numbers, self.count = np.zeros(room, dtype=np.uint64), np.zeros(room, dtype=np.int32), 0
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where there is none. No key may be 0."""
+        out = np.full(len(keys), -1, dtype=np.int64)
+        last = U64(len(self.keys) - 1)
+        open_ = np.arange(len(keys))
+        spot = (keys & last).astype(np.int64)
+        while len(open_):
+            held = self.keys[spot]
+            hit = held == keys[open_]
+            out[open_[hit]] = self.numbers[spot[hit]]
+            on = ~hit & (held != 0)
+            open_, spot = open_[on], (spot[on] + 1) & int(last)
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Enter distinct keys that are not held."""
+        if 2 * (self.count + len(keys)) > len(self.keys):
+            full = self.keys != 0
+            old_keys, old_numbers = self.keys[full], self.numbers[full]
+            self.__init__(1 << (4 * (self.count + len(keys))).bit_length())
+            self._put(old_keys, old_numbers)
+        self._put(keys, numbers)
+
+    def _put(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        self.count += len(keys)
+        last = len(self.keys) - 1
+        spot = (keys & U64(last)).astype(np.int64)
+        while len(keys):
+            free = self.keys[spot] == 0
+            self.keys[spot[free]] = keys[free]  # of several keys for a place the last one gets it
+            won = self.keys[spot] == keys
+            self.numbers[spot[won]] = numbers[won]
+            keys, numbers, spot = keys[~won], numbers[~won], (spot[~won] + 1) & last

@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from toponexus.llm.chunks import column_bytes
+from toponexus.llm.chunks import column_bytes, give_back
+from toponexus.llm.storage import small_batches
 
 #: Rows a language gives to the training sample at most, and the characters read of each.
 SAMPLE_ROWS, SAMPLE_CHARS = 600, 512
@@ -149,11 +150,12 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     return network
 
 
-def _predict(network: Network | None, block: int = 1 << 20):
+def _predict(network: Network | None, place: int, kept: int, block: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column_bytes(batch.column("__text"))
-            lettered = np.asarray(batch.column("__lettered").fill_null(False)).astype(bool)
+            row = batch.column("row")
+            data, offsets = column_bytes(row.field(place))
+            lettered = np.asarray(batch.column("lettered").fill_null(False)).astype(bool)
             names: list[str] = [UNKNOWN] * batch.num_rows
             scores = np.zeros(batch.num_rows)
             rows = np.flatnonzero(lettered) if network else []
@@ -174,11 +176,12 @@ def _predict(network: Network | None, block: int = 1 << 20):
                     names[rows[a + i]] = network.languages[best]
                     scores[rows[a + i]] = probs[i, best]
                 a = b
-            kept = [i for i, name in enumerate(batch.schema.names) if name not in ("__text", "__lettered")]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i) for i in kept), pa.array(names, pa.string()), pa.array(scores)],
-                [*(batch.schema.names[i] for i in kept), "lang_pred", "score"],
-            )
+            if place == kept:  # the text was sent for the prediction alone
+                fields = [row.type.field(i) for i in range(row.type.num_fields)]
+                none = pa.nulls(batch.num_rows, fields[place].type)
+                row = pa.StructArray.from_arrays([*(row.field(i) for i in range(kept)), none], fields=fields)
+            yield pa.RecordBatch.from_arrays([row, pa.array(names, pa.string()), pa.array(scores)], ["row", "lang_pred", "score"])
+        give_back()
 
     return run
 
@@ -199,20 +202,29 @@ def _text_logits(network: Network, data: np.ndarray, offsets: np.ndarray, rows:
     yield own, network.logits(windows)
 
 
-def identify(docs: DataFrame, network: Network | None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred and score.
+def identify(docs: DataFrame, network: Network | None, text_col: str = "text", keep: list[str] | None = None, as_row: bool = False) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if not given) with lang_pred and score.
 
     The prediction reads the text alone, all of it. Null text, text without a letter, and every text
     where there is no network give ``und`` with score 0. Scores are the mean over a text's windows.
-    Repeated rows stay. An empty table gives an empty result. Columns of ``docs`` that are called
-    lang_pred or score may not be kept.
+    Repeated rows stay. An empty table gives an empty result. Kept columns that are called lang_pred
+    or score give way to the result's, unless ``as_row`` keeps all of them in one column ``row``.
     """
     keep = docs.columns if keep is None else keep
-    if clash := {"lang_pred", "score", "__text", "__lettered"} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} would clash with the result's")
-    rows = docs.select(*keep, F.col(text_col).cast("string").alias("__text"), F.col(text_col).cast("string").rlike(r"\p{L}").alias("__lettered"))
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    return rows.mapInArrow(_predict(network), f"{kinds}, {SCHEMA}" if kinds else SCHEMA)
+    if not as_row:
+        keep = [c for c in keep if c not in ("lang_pred", "score")]
+    kinds = [f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*(f"`{c}`" for c in keep)).schema.fields]
+    parts = [F.col(f"`{c}`") for c in keep]
+    source = F.col(f"`{text_col}`").cast("string")
+    if text_col in keep and docs.schema[text_col].dataType.simpleString() == "string":
+        place = keep.index(text_col)  # a text is sent once
+    else:
+        place = len(keep)
+        parts.append(source.alias("__text"))
+        kinds.append("__text: string")
+    rows = small_batches(docs).select(F.struct(*parts).alias("row"), source.rlike(r"\p{L}").alias("lettered"))
+    found = rows.mapInArrow(_predict(network, place, len(keep)), f"row struct<{', '.join(kinds)}>, {SCHEMA}")
+    return found if as_row else found.select(*(F.col(f"row.`{c}`") for c in keep), "lang_pred", "score")
 
 
 def held_out(id_col: str):

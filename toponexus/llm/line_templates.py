@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from toponexus.llm import chunks as C
-from toponexus.llm.hashing import BYTE_VALUES, Words, mix, prefix_sums, range_hashes
+from toponexus.llm.hashing import Words, byte_sums, mix, prefix_sums, range_hashes
 
 SCHEMA = "doc_id long, n_lines long, n_dropped long, kept_text string, kept_sha256 string"
 WILDCARD = b"<*>"
@@ -50,7 +50,7 @@ class Lines:
         words = Words(data, np.concatenate([starts, [len(data)]]))
         variable = np.concatenate([[0], np.cumsum(_VARIABLE[data])])
         mask = np.frombuffer(WILDCARD, dtype=np.uint8)
-        wildcard = range_hashes(prefix_sums(BYTE_VALUES[mask], "bytes"), np.array([0]), np.array([len(mask)]), "bytes")[0]
+        wildcard = range_hashes(byte_sums(mask), np.array([0]), np.array([len(mask)]), "bytes")[0]
         tokens = np.where(variable[words.ends] > variable[words.starts], wildcard, words.hashes)
         sums = prefix_sums(tokens, "words")
         low, high = words.bounds[:-1], words.bounds[1:]
@@ -126,7 +126,7 @@ def _finish(depth: int, min_tokens: int, bits: int, with_text: bool):
                 "doc_id": chunk.given_ids(),
                 "n_lines": np.diff(lines.first),
                 "n_dropped": dropped,
-                "kept_text": [x.decode() for x in kept] if with_text else None,
+                "kept_text": [x.decode() for x in kept] if with_text else pd.Series([None] * len(chunk), dtype=object),
                 "kept_sha256": [hashlib.sha256(x).hexdigest() for x in kept],
             }
         )
@@ -134,17 +134,17 @@ def _finish(depth: int, min_tokens: int, bits: int, with_text: bool):
     return kernel
 
 
-def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_tokens: int = 3, depth: int = 3, with_text: bool = True, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def drop_recurring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_docs: int = 10, min_tokens: int = 3, depth: int = 3, with_text: bool = True, chunk_bytes: int = C.CHUNK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Drop lines whose template recurs in ``min_docs`` documents or more, save in the document with the least id.
 
     Returns doc_id, n_lines, n_dropped, kept_text (the lines left, joined by newlines; null unless
     ``with_text``) and kept_sha256, a row for each row of ``docs``. Lines are parted by newlines,
     tokens by the six ASCII spaces; lines of fewer than ``min_tokens`` tokens stay. Null text counts
     as one empty line. A null id sorts after all others; rows that share an id count as so many
-    documents and keep their lines alike. An empty table gives an empty result. Other columns are
-    not read. ``docs`` must read alike each time: a table, a file scan or a checkpoint.
+    documents and keep their lines alike. An empty table gives an empty result. Of other columns
+    only those of ``carry`` are read; they follow as one column ``row``. ``docs`` must read alike each time: a table, a file scan or a checkpoint.
     """
     bits = C.bucket_bits(docs.sparkSession)
-    packed = C.pack(docs, id_col, text_col, chunk_bytes)
+    packed = C.pack(docs, id_col, text_col, chunk_bytes, carry)
     found = C.answer(packed.mapInArrow(C.each_chunk(_runs(depth, min_tokens, bits)), C.RUN_SCHEMA), _recurring(min_docs))
-    return C.meet(packed, found, _finish(depth, min_tokens, bits, with_text), SCHEMA)
+    return C.meet(packed, found, _finish(depth, min_tokens, bits, with_text), C.row_schema(docs, SCHEMA, carry))

@@ -13,7 +13,6 @@ import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 from unicodedata import is_normalized
 
 import numpy as np
@@ -24,17 +23,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from toponexus.llm import storage
-from toponexus.llm.chunks import column_bytes
-from toponexus.llm.hashing import BYTE_VALUES, mix, prefix_sums, range_hashes, spans_of_words
+from toponexus.llm.chunks import column_bytes, give_back
+from toponexus.llm.hashing import BYTE_VALUES, HashTable, byte_sums, mix, range_hashes, spans_of_words
 
 #: Words whose ids a worker keeps at once; beyond it those met seldom make room.
-WORDS_KEPT = 1_500_000
+WORDS_KEPT = 800_000
 #: Bytes that part words here; other white space stays inside a word and is the tokenizer's.
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[10, 32]] = True
 _SECOND_VALUES = mix(BYTE_VALUES + np.uint64(1))
-#: The parts of a lower-case ASCII word without an apostrophe: letters, a digit, other signs.
-_PLAIN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9\s]+").findall
+#: The parts of a printable lower-case ASCII word without an apostrophe: letters, a digit, other signs.
+_PLAIN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
 TOKENS_SCHEMA = "part int, doc_id long, local_start long, doc_tokens long, ids binary"
 PIECES_SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
 
@@ -61,22 +60,24 @@ class WordTokenizer:
         self._start()
 
     def _start(self) -> None:
-        self.known: dict[int, int] = {}
-        self.second = np.zeros(1 << 16, dtype=np.uint64)
-        self.sizes, self.starts, self.uses = (np.zeros(1 << 16, dtype=np.int64) for _ in range(3))
+        self.known = HashTable()
+        self.first, self.second = (np.zeros(1 << 16, dtype=np.uint64) for _ in range(2))
+        self.sizes, self.uses = (np.zeros(1 << 16, dtype=np.int32) for _ in range(2))
+        self.starts = np.zeros(1 << 16, dtype=np.int64)
         self.flat = np.zeros(1 << 18, dtype=np.uint32)
         self.count = self.filled = 0
 
     def _add(self, firsts: np.ndarray, seconds: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
         while self.count + len(sizes) > len(self.sizes):
-            self.sizes, self.starts, self.uses, self.second = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts, self.uses, self.second))
+            self.sizes, self.starts, self.uses, self.first, self.second = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts, self.uses, self.first, self.second))
         while self.filled + len(flat) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         ends = self.filled + np.cumsum(sizes)
         own = slice(self.count, self.count + len(sizes))
         self.sizes[own], self.starts[own], self.second[own], self.uses[own] = sizes, ends - sizes, seconds, 0
         self.flat[self.filled : self.filled + len(flat)] = flat
-        self.known.update(zip(firsts.tolist(), range(self.count, self.count + len(sizes)), strict=True))
+        self.first[own] = firsts
+        self.known.add(firsts, np.arange(self.count, self.count + len(sizes)))
         self.count += len(sizes)
         self.filled += len(flat)
 
@@ -86,8 +87,8 @@ class WordTokenizer:
         stay = uses > 1
         if stay.sum() > WORDS_KEPT // 2:
             stay &= uses > np.median(uses[stay])
-        firsts = np.fromiter(self.known, dtype=np.uint64, count=self.count)[stay]
-        seconds, sizes, starts = self.second[: self.count][stay], self.sizes[: self.count][stay], self.starts[: self.count][stay]
+        firsts = self.first[: self.count][stay]
+        seconds, sizes, starts = self.second[: self.count][stay], self.sizes[: self.count][stay].astype(np.int64), self.starts[: self.count][stay]
         flat = self.flat[_ranges(starts, sizes)]
         self._start()
         self._add(firsts, seconds, sizes, flat)
@@ -115,12 +116,12 @@ class WordTokenizer:
         odd = []
         for word in words:
             low = word.lower()
-            if low.isascii() and "'" not in low and "<|" not in low:
+            if low.isascii() and low.isprintable() and "'" not in low and "<|" not in low:
                 plan.append([parts.setdefault(part, len(parts)) for part in ([low] if low.isalpha() else _PLAIN(low))])
-            elif low.isalpha() and is_normalized("NFC", word):
-                plan.append([parts.setdefault(low, len(parts))])
-            elif low[:-1].isalpha() and low[-1] in ".," and is_normalized("NFC", word):
-                plan.append([parts.setdefault(low[:-1], len(parts)), parts.setdefault(low[-1], len(parts))])
+            elif word.isalpha() and is_normalized("NFC", word):  # the tokenizer's own lower case may differ
+                plan.append([parts.setdefault(word, len(parts))])
+            elif word[:-1].isalpha() and word[-1] in ".," and is_normalized("NFC", word):
+                plan.append([parts.setdefault(word[:-1], len(parts)), parts.setdefault(word[-1], len(parts))])
             else:
                 plan.append(None)
                 odd.append(word)
@@ -133,8 +134,8 @@ class WordTokenizer:
         if self.count > WORDS_KEPT:
             self._forget()
         starts, ends = spans_of_words(data, offsets, _BREAKS)
-        first = range_hashes(prefix_sums(BYTE_VALUES[data], "bytes"), starts, ends, "bytes")
-        second = range_hashes(prefix_sums(_SECOND_VALUES[data], "words"), starts, ends, "words")
+        first = np.maximum(range_hashes(byte_sums(data), starts, ends, "bytes"), 1)
+        second = range_hashes(byte_sums(data, _SECOND_VALUES), starts, ends, "bytes")
         order = np.argsort(first)
         ordered = first[order]
         new = np.ones(len(ordered), dtype=bool)
@@ -143,7 +144,7 @@ class WordTokenizer:
         distinct, sample = ordered[new], order[new]
         if (second[order] != second[sample][group]).any():
             raise RuntimeError("two words share a 64-bit hash")
-        index = np.fromiter(map(self.known.get, distinct.tolist(), repeat(-1)), dtype=np.int64, count=len(distinct))
+        index = self.known.find(distinct)
         fresh = np.flatnonzero(index < 0)
         if len(fresh):
             body, a, b = data.tobytes(), starts[sample[fresh]].tolist(), ends[sample[fresh]].tolist()
@@ -155,7 +156,7 @@ class WordTokenizer:
         self.uses[index] += np.bincount(group, minlength=len(distinct))
         of_word = np.empty(len(starts), dtype=np.int64)
         of_word[order] = index[group]
-        sizes = self.sizes[of_word]
+        sizes = self.sizes[of_word].astype(np.int64)
         total = np.concatenate([[0], np.cumsum(sizes)])
         return self.flat[_ranges(self.starts[of_word], sizes)], np.diff(total[np.searchsorted(starts, offsets)])
 
@@ -173,8 +174,9 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _tokens(path: str, end_id: int, batch_bytes: int = 1 << 21):
+def _tokens(path: str, end_id: int, batch_bytes: int = 1 << 20):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()  # what earlier stages left in this worker
         words, part, at = tokenizer(path), TaskContext.get().partitionId(), 0
         for batch in batches:
             data, offsets = column_bytes(batch.column(1))
@@ -203,13 +205,14 @@ def _tokens(path: str, end_id: int, batch_bytes: int = 1 << 21):
                     ["part", "doc_id", "local_start", "doc_tokens", "ids"],
                 )
                 a = b
+        give_back()
 
     return run
 
 
 def tokenize(docs: DataFrame, id_col: str, text_col: str, tokenizer_path: str, end_id: int) -> DataFrame:
     """Rows (part, doc_id, local_start, doc_tokens, ids): ids little-endian, 2 bytes each where doc_tokens * 2 is their size, else 4."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = storage.small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_tokens(tokenizer_path, end_id), TOKENS_SCHEMA)
 
 

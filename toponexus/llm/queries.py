@@ -26,7 +26,7 @@ def op2_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100, with_text=False).drop("kept")
+    return suffix_repeats.remove_repeats(_table(spark, sf_dir, "documents"), length=100, with_bytes=False).drop("kept", "kept_text")
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toponexus.llm import components
-from toponexus.llm.chunks import column_bytes
-from toponexus.llm.storage import keep
+from toponexus.llm.chunks import column_bytes, give_back
+from toponexus.llm.storage import keep, small_batches
 
 SEED = 42
 BANDS, EQUAL_BANDS, RADIUS = 6, 3, 3
@@ -85,6 +85,7 @@ def _fingerprint_rows(words: int, batch_bytes: int = 1 << 21):
                 out[a:b] = fingerprints([body[x:y] for x, y in zip(places[:-1], places[1:], strict=True)], words)
                 a = b
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
+        give_back()
 
     return run
 
@@ -211,7 +212,7 @@ def links(prints: DataFrame) -> DataFrame:
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
     """Rows (doc_id, fp) with the fingerprint's bits in a signed long; null text has no words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_fingerprint_rows(words), "doc_id long, fp long")
 
 

@@ -23,6 +23,20 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+#: Rows that an Arrow batch holds at most, unless the session says otherwise: texts are large rows, and
+#: batches of the engine's own default size take hundreds of megabytes outside the heap.
+BATCH_ROWS = 2000
+_SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(frame: DataFrame) -> DataFrame:
+    """``frame``, its session set to small Arrow batches where the setting is the default one. Results do not depend on it."""
+    conf = frame.sparkSession.conf
+    if conf.get(_SETTING) == _DEFAULT:
+        conf.set(_SETTING, str(BATCH_ROWS))
+    return frame
+
+
 def keep(frame: DataFrame) -> DataFrame:
     """Compute a small ``frame`` once and cut its lineage by a reliable checkpoint."""
     context = frame.sparkSession.sparkContext

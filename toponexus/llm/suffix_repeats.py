@@ -25,25 +25,24 @@ import hashlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from toponexus.llm import chunks as C
-from toponexus.llm.hashing import BYTE_VALUES, mix, prefix_sums, rolling_hashes
+from toponexus.llm.hashing import byte_sums, mix, rolling_hashes
 
 #: Bits of an anchor's hash in the first exchange; a chance meeting only adds suffixes to the sort.
 ANCHOR_BITS = 48
-SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string"
+SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string"
 
 
 class Anchors:
     """Anchors of a chunk's windows: positions, hashes, and the windows of each."""
 
     def __init__(self, chunk: C.Chunk, length: int, gram: int):
-        hashes = rolling_hashes(prefix_sums(BYTE_VALUES[chunk.data], "bytes"), gram, "bytes")
+        hashes = rolling_hashes(byte_sums(chunk.data), gram, "bytes")
         n = len(hashes)
         low = np.uint64((1 << 32) - 1)
-        least = (hashes & ~low) | np.arange(n, dtype=np.uint64)  # the position breaks ties
+        least = hashes & ~low
+        least |= np.arange(n, dtype=np.uint64)  # the position breaks ties
         reach, width = 1, length - gram + 1
         while 2 * reach <= width:
             least = np.minimum(least[: len(least) - reach], least[reach:]) if len(least) > reach else least[:0]
@@ -69,12 +68,6 @@ class Anchors:
         self.doc = np.searchsorted(chunk.offsets, self.at, "right") - 1
 
 
-@F.pandas_udf(T.StringType())
-def text_of(kept: pd.Series) -> pd.Series:
-    """The remaining bytes as text; bytes that are no whole character are left out."""
-    return kept.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
-
-
 def _anchor_runs(length: int, gram: int, bits: int):
     def kernel(chunk: C.Chunk):
         keys = np.unique(Anchors(chunk, length, gram).hashes >> np.uint64(64 - ANCHOR_BITS))
@@ -288,7 +281,7 @@ def _covered(length: int, gram: int):
     return reduce
 
 
-def _finish(length: int, with_text: bool):
+def _finish(length: int, with_bytes: bool, with_text: bool):
     def kernel(chunk: C.Chunk, answers: dict[int, bytes], side: bytes) -> pd.DataFrame:
         at, bucket, copies, near, far = C.unpack_arrays(side)
         flags = np.concatenate([C.unpack_arrays(answers[b])[0] for b in np.unique(bucket).tolist()]) if len(at) else np.zeros(0, dtype=np.uint64)
@@ -309,13 +302,15 @@ def _finish(length: int, with_text: bool):
         kept = chunk.data[~gone].tobytes()
         edges = (chunk.offsets - removed).tolist()
         slices = [kept[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        none = pd.Series([None] * len(chunk), dtype=object)
         return pd.DataFrame(
             {
                 "doc_id": chunk.given_ids(),
                 "n_bytes": chunk.lengths,
                 "n_removed": np.diff(removed),
                 "n_spans": np.diff(spans),
-                "kept": slices if with_text else None,
+                "kept": slices if with_bytes else none,
+                "kept_text": [x.decode("utf-8", "ignore") for x in slices] if with_text else none,
                 "kept_sha256": [hashlib.sha256(x).hexdigest() for x in slices],
             }
         )
@@ -323,21 +318,23 @@ def _finish(length: int, with_text: bool):
     return kernel
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 50, with_text: bool = True, chunk_bytes: int = C.CHUNK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 50, with_bytes: bool = True, with_text: bool = False, chunk_bytes: int = C.CHUNK_BYTES, carry: list[str] | None = None) -> DataFrame:
     """Drop each byte covered by a string of ``length`` bytes that also starts earlier.
 
     Earlier is a smaller id, or the same id and an earlier start; strings do not cross documents.
     Returns doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes;
+    null unless ``with_bytes``), kept_text (the same as text, without what is left of cut characters;
     null unless ``with_text``) and kept_sha256, a row for each row of ``docs``. Null text counts as
     empty; a null id sorts after all others. Rows that share an id count as one document read in an
-    undefined order, so of equal rows one keeps its bytes. Other columns are not read. An empty
+    undefined order, so of equal rows one keeps its bytes. Of other columns only
+    those of ``carry`` are read; they follow as one column ``row``. An empty
     table gives an empty result. ``docs`` must read alike each time: a table, a file scan or a
     checkpoint.
     """
     if not 0 < gram <= length <= gram + 63:
         raise ValueError("gram must be at most length, and length - gram at most 63")
     bits = C.bucket_bits(docs.sparkSession)
-    packed = C.pack(docs, id_col, text_col, chunk_bytes)
+    packed = C.pack(docs, id_col, text_col, chunk_bytes, carry)
     met = C.answer(packed.mapInArrow(C.each_chunk(_anchor_runs(length, gram, bits)), C.RUN_SCHEMA), _met_elsewhere)
     found = C.answer(C.meet_runs(packed, met, _suffix_runs(length, gram, bits)), _covered(length, gram))
-    return C.meet(packed, found, _finish(length, with_text), SCHEMA)
+    return C.meet(packed, found, _finish(length, with_bytes, with_text), C.row_schema(docs, SCHEMA, carry))

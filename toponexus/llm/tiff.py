@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toponexus.llm.chunks import column_bytes
+from toponexus.llm.storage import small_batches
 
 # Fixed values of the format: tag numbers, field sizes by field type, compression and predictor codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, STRIP_OFFSETS = 256, 257, 258, 259, 262, 270, 273
@@ -374,11 +375,10 @@ def pages(frame: DataFrame, media_col: str, keep: list[str] | None = None) -> Da
 
     A row's pages follow one another in order. A null or damaged value gives the pages read so far
     and one row with ``error`` set. Pixels are rows of samples, 16-bit ones little-endian. Kept
-    columns may not be called like a page column. An empty table gives an empty result.
+    columns that are called like a page column give way to it. An empty table gives an empty result.
     """
     keep = [name for name in frame.columns if name != media_col] if keep is None else keep
-    if clash := {x.split()[0] for x in PAGE_COLUMNS.split(", ")} & set(keep):
-        raise ValueError(f"columns {sorted(clash)} would clash with the pages'")
+    keep = [c for c in keep if c not in {x.split()[0] for x in PAGE_COLUMNS.split(", ")}]
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*keep).schema.fields)
     return frame.select(*keep, F.col(media_col).alias("__media")).mapInArrow(_page_rows(keep), f"{kinds}, {PAGE_COLUMNS}" if kinds else PAGE_COLUMNS)
 
@@ -410,7 +410,7 @@ def from_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Each page's description holds the unpadded number of bytes. Null text counts as empty.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_write_rows(width, page_rows, layout or Layout()), "doc_id long, media binary, media_sha256 string, media_bytes long")
 
 

@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toponexus.llm.chunks import column_bytes
-from toponexus.llm.hashing import BYTE_VALUES, mix, prefix_sums, range_hashes
+from toponexus.llm.hashing import BYTE_VALUES, HashTable, byte_sums, mix, range_hashes
+from toponexus.llm.storage import small_batches
 
 MARK = "▁"
 #: Parts whose ids a worker keeps; beyond it those met once make room.
@@ -123,7 +124,7 @@ class Unigram:
         self._start()
 
     def _start(self) -> None:
-        self.known: dict[int, int] = {}
+        self.known = HashTable()
         self.second = np.zeros(1 << 12, dtype=np.uint64)
         self.starts, self.sizes, self.uses = (np.zeros(1 << 12, dtype=np.int64) for _ in range(3))
         self.best = np.zeros(1 << 12)
@@ -221,7 +222,7 @@ class Unigram:
         self.sizes[own], self.second[own], self.best[own], self.uses[own] = sizes, seconds, best, 0
         self.starts[own] = self.filled + np.cumsum(sizes) - sizes
         self.flat[self.filled : self.filled + len(ids)] = ids
-        self.known.update(zip(firsts.tolist(), range(self.count, self.count + len(sizes)), strict=True))
+        self.known.add(firsts, np.arange(self.count, self.count + len(sizes)))
         self.count += len(sizes)
         self.filled += len(ids)
 
@@ -231,10 +232,10 @@ class Unigram:
             self._start()
         marked, bounds = mark_spaces(data, offsets)
         starts, ends, of_text = split_marked(marked, bounds)
-        first = range_hashes(prefix_sums(BYTE_VALUES[marked], "bytes"), starts, ends, "bytes")
-        second = range_hashes(prefix_sums(_SECOND_VALUES[marked], "words"), starts, ends, "words")
+        first = np.maximum(range_hashes(byte_sums(marked), starts, ends, "bytes"), 1)
+        second = range_hashes(byte_sums(marked, _SECOND_VALUES), starts, ends, "bytes")
         distinct, sample, group = np.unique(first, return_index=True, return_inverse=True)
-        index = np.fromiter((self.known.get(key, -1) for key in distinct.tolist()), dtype=np.int64, count=len(distinct))
+        index = self.known.find(distinct)
         fresh = np.flatnonzero(index < 0)
         for a in range(0, len(fresh), 1 << 15):
             some = sample[fresh[a : a + (1 << 15)]]
@@ -348,5 +349,5 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     holds U+2581 decodes it as a space and is then not lossless; nor are texts with unknown pieces
     where the model has no byte pieces. Repeated rows stay. Other columns are not read.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     return rows.mapInArrow(_rows(model_path, with_ids), SCHEMA)
