@@ -69,19 +69,24 @@ def with_phrases(names: DataFrame, cache: DataFrame, options: Options) -> DataFr
     return names.join(made, "row_id", "left").withColumn("phrases", F.coalesce("phrases", F.array().cast("array<string>")))
 
 
-def candidate_pairs(english: DataFrame, arabic: DataFrame, districts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(pairs of open names within translated districts, English rows without a translation)."""
-    mapped, unmapped = relational.translate_keys(english.withColumnRenamed("district", "district_en"), districts, "district_en", "district_ar")
-    open_names = relational.work_queue(arabic, "counterpart").where("name is not null").groupBy(F.col("district").alias("district_ar"), F.col("name").alias("cand")).agg(F.min("row_id").alias("cand_ord"))
-    pairs = relational.block_pairs(mapped, open_names, "district_ar")
-    keys = [c for c in pairs.columns if c not in ("district_ar", "cand_ord")]
-    return pairs.groupBy(*[c for c in keys if c != "phrases"]).agg(F.min("cand_ord").alias("cand_ord"), F.first("phrases").alias("phrases")), unmapped
-
-
-def score_pairs(pairs: DataFrame, options: Options) -> DataFrame:
-    """Pairs with (via, score)."""
-    bare = text.name_key(text.drop_latin_article(text.strip(F.col("name"))))
-    kernel = scored(text.name_key(F.col("name")), bare, F.col("phrases"), text.strip(F.col("cand")), F.lit(options.by_word))
+def candidates_of(arabic: DataFrame, districts: DataFrame) -> DataFrame:
+    """Rows (district_en, cand, cand_ord): the open Arabic names of each English district, each once, the first row's place kept.
+
+    A name is counted here, before pairs are made, so the pairs themselves are distinct and need no
+    exchange of their own.
+    """
+    mapping = districts.where("district_ar is not null").select("district_en", "district_ar").distinct()
+    open_names = relational.work_queue(arabic, "counterpart").where("name is not null").select(F.col("district").alias("district_ar"), F.col("name").alias("cand"), "row_id")
+    return open_names.join(mapping, "district_ar").groupBy("district_en", "cand").agg(F.min("row_id").alias("cand_ord"))
+
+
+def score_pairs(names: DataFrame, candidates: DataFrame, options: Options) -> DataFrame:
+    """Pairs within a district with (via, score). What depends on one name alone is worked out before the join."""
+    stripped = text.strip(F.col("name"))
+    left = names.select("row_id", "name", F.col("district").alias("district_en"), "phrases", text.name_key(F.col("name")).alias("key"), text.name_key(text.drop_latin_article(stripped)).alias("bare"))
+    right = candidates.select("district_en", "cand", "cand_ord", text.strip(F.col("cand")).alias("text"))
+    pairs = relational.block_pairs(left, right, "district_en")
+    kernel = scored(F.col("key"), F.col("bare"), F.col("phrases"), F.col("text"), F.lit(options.by_word))
     return pairs.withColumn("kernel", kernel).select("row_id", "name", "district_en", "cand", "cand_ord", "kernel.via", "kernel.score")
 
 
@@ -99,8 +104,10 @@ def match(english: DataFrame, arabic: DataFrame, districts: DataFrame, cache: Da
         queue = queue.join(F.broadcast(first), "district", "left_semi")
     elif options.district:
         queue = queue.where(F.col("district") == options.district)
-    pairs, unmapped = candidate_pairs(with_phrases(queue, cache, options), arabic, districts)
-    edges = score_pairs(pairs, options).select(F.col("row_id").alias("eng_id"), F.col("row_id").alias("eng_ord"), "name", F.col("district_en").alias("group"), "cand", "cand_ord", "via", "score")
+    mapped = districts.where("district_ar is not null").select(F.col("district_en").alias("district")).distinct()
+    unmapped = queue.join(mapped, "district", "left_anti").withColumnRenamed("district", "district_en")
+    named = with_phrases(queue.where("name is not null"), cache, options)
+    edges = score_pairs(named, candidates_of(arabic, districts), options).select(F.col("row_id").alias("eng_id"), F.col("row_id").alias("eng_ord"), "name", F.col("district_en").alias("group"), "cand", "cand_ord", "via", "score")
     edges = assignment.checkpoint(edges)
     rows = queue.join(unmapped.select("row_id"), "row_id", "left_anti").select(F.col("row_id").alias("eng_id"), F.col("name").alias("eng_name"), F.col("district").alias("group"))
     slim = edges.select("eng_id", "eng_ord", "group", "cand", "cand_ord", "score")
