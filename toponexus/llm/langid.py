@@ -119,16 +119,24 @@ def windows_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def sample(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> list[tuple[str, str]]:
-    """At most ``SAMPLE_ROWS`` pieces of text for each of at most ``LANGUAGES`` labels, picked by a hash of the id."""
-    picked = F.xxhash64(F.col(id_col).cast("string"))
-    size = F.length(text_col)
-    start = F.pmod(picked, F.greatest(size - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
-    rows = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(
-        F.col(lang_col).cast("string").alias("lang"), picked.alias("picked"), F.col(text_col).substr(start, F.lit(SAMPLE_CHARS)).alias("piece")
-    )
-    names = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).select("lang")
+    """At most ``SAMPLE_ROWS`` pieces of text for each of at most ``LANGUAGES`` labels, those with the least hashes of the id.
+
+    Labels are counted first, so that of each one only hashes below a limit are ranked: some twenty
+    times as many rows as are wanted, however many there are.
+    """
+    lang = F.col(f"`{lang_col}`").cast("string").alias("lang")
+    counts = docs.select(lang).where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return []
+    share = {r["lang"]: min(1.0, 20 * SAMPLE_ROWS / r["count"]) for r in counts}
+    limits = docs.sparkSession.createDataFrame([(name, int(-(2**63) + part * (2**64 - 1)) if part < 1 else 2**63 - 1) for name, part in share.items()], "lang string, most long")
+    picked = F.xxhash64(F.col(f"`{id_col}`").cast("string"))
+    text = F.col(f"`{text_col}`").cast("string")
+    start = F.pmod(picked, F.greatest(F.length(text) - SAMPLE_CHARS, F.lit(1))).cast("int") + 1
+    rows = docs.select(lang, picked.alias("picked"), text.alias("text"), start.alias("start")).join(F.broadcast(limits), "lang").where(F.col("picked") <= F.col("most"))
+    pieces = rows.where(F.col("text").rlike(r"\p{L}")).select("lang", "picked", F.col("text").substr(F.col("start"), F.lit(SAMPLE_CHARS)).alias("piece"))
     nth = F.row_number().over(W.partitionBy("lang").orderBy("picked", "piece"))
-    few = rows.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS).join(F.broadcast(names), "lang")
+    few = pieces.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_ROWS)
     return [(r.lang, r.piece) for r in few.orderBy("lang", "nth").select("lang", "piece").collect()]
 
 
