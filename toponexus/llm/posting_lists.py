@@ -225,7 +225,9 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         return spark.createDataFrame([], schema)
     size, length = shape["size"], float(np.sqrt(shape["square"]))
     rows = rows.where(F.col("size") == size).select("id", "v")
-    fitted = rows.orderBy(F.xxhash64("id"), "id").limit(settings.sample).select("v").toPandas()["v"]
+    # of the least hashes only a few times as many rows as are wanted are ranked, however many there are
+    most = int(-(2**63) + 4 * settings.sample / shape["n"] * (2**64 - 1)) if shape["n"] > 4 * settings.sample else 2**63 - 1
+    fitted = rows.where(F.xxhash64("id") <= most).orderBy(F.xxhash64("id"), "id").limit(settings.sample).select("v").toPandas()["v"]
     sample = np.array(fitted.tolist(), dtype=np.float64)
     wide = np.concatenate([sample, np.sqrt(np.maximum(length**2 - (sample**2).sum(axis=1), 0))[:, None]], axis=1)
     count = int(min(settings.most_lists, max(1, shape["n"] // settings.list_size), max(1, len(wide) // 4)))
