@@ -41,7 +41,7 @@ def _powers(kind: str, sign: int, n: int) -> np.ndarray:
     table = _POWERS.get((kind, sign))
     if table is None or len(table) < n:
         base = _MULTIPLIERS[kind] if sign > 0 else pow(_MULTIPLIERS[kind], -1, 1 << 64)
-        size = -(-n // (1 << 18)) * (1 << 18)
+        size = max(1, -(-n // (1 << 18))) * (1 << 18)
         table = np.full(size, base, dtype=np.uint64)
         table[0] = 1
         np.multiply.accumulate(table, out=table)
