@@ -9,6 +9,7 @@ it needs no exchange of tokens. Only the last sequence is not full.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Iterator
@@ -27,7 +28,7 @@ from toponexus.llm.chunks import column_bytes, give_back
 from toponexus.llm.hashing import BYTE_VALUES, HashTable, byte_sums, mix, range_hashes, spans_of_words
 
 #: Words whose ids a worker keeps at once; beyond it those met seldom make room.
-WORDS_KEPT = 800_000
+WORDS_KEPT = 450_000
 #: Bytes that part words here; other white space stays inside a word and is the tokenizer's.
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[10, 32]] = True
@@ -171,6 +172,7 @@ def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str) -> WordTokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core; threads would each keep memory of their own
     return WordTokenizer(path)
 
 
