@@ -201,13 +201,19 @@ def ball_links(prints: DataFrame) -> DataFrame:
 
 
 def links(prints: DataFrame) -> DataFrame:
-    """Pairs (a, b) of distinct fingerprints whose closure is the closure of all links within 3 bits."""
+    """Pairs (a, b) of distinct fingerprints whose closure is the closure of all links within 3 bits.
+
+    The list of large cells is computed first; mostly there is none, and then the rows of cells are
+    exchanged once and joined with nothing.
+    """
     rows = prints.mapInArrow(_cell_rows, "cell long, fp long")
-    sizes = rows.groupBy("cell").count()
-    large = sizes.where(F.col("count") > CELL).select("cell")
-    few = rows.join(large, "cell", "left_anti").repartition("cell").sortWithinPartitions("cell", "fp")
-    many = rows.join(large, "cell", "left_semi").select("fp").distinct()
-    return few.mapInArrow(_cell_links, "a long, b long").union(ball_links(many)).distinct()
+    large = keep(rows.groupBy("cell").count().where(F.col("count") > CELL).select("cell"))
+    some = not large.isEmpty()
+    few = rows.join(large, "cell", "left_anti") if some else rows
+    found = few.repartition("cell").sortWithinPartitions("cell", "fp").mapInArrow(_cell_links, "a long, b long")
+    if not some:
+        return found.distinct()
+    return found.union(ball_links(rows.join(large, "cell", "left_semi").select("fp").distinct())).distinct()
 
 
 def fingerprint(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
