@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from toponexus.deploy import ship
 from toponexus.functions import text
 from toponexus.functions.similarity import scored
 from toponexus.operators import assignment, phrases, relational
@@ -85,7 +86,10 @@ def score_pairs(names: DataFrame, candidates: DataFrame, options: Options) -> Da
     stripped = text.strip(F.col("name"))
     left = names.select("row_id", "name", F.col("district").alias("district_en"), "phrases", text.name_key(F.col("name")).alias("key"), text.name_key(text.drop_latin_article(stripped)).alias("bare"))
     right = candidates.select("district_en", "cand", "cand_ord", text.strip(F.col("cand")).alias("text"))
-    pairs = relational.block_pairs(left, right, "district_en")
+    # a pair costs far more than its bytes tell, so small inputs are spread out as well and not packed into few tasks
+    spark = names.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    pairs = relational.block_pairs(left.repartition(tasks, "row_id"), right.repartition(tasks, "district_en", "cand"), "district_en")
     kernel = scored(F.col("key"), F.col("bare"), F.col("phrases"), F.col("text"), F.lit(options.by_word))
     return pairs.withColumn("kernel", kernel).select("row_id", "name", "district_en", "cand", "cand_ord", "kernel.via", "kernel.score")
 
@@ -98,6 +102,7 @@ def match(english: DataFrame, arabic: DataFrame, districts: DataFrame, cache: Da
     row's own three best candidates.
     """
     options = options or Options()
+    ship(english.sparkSession)
     queue = relational.work_queue(english, "counterpart").select("row_id", "name", "district")
     if options.district == "FIRST":
         first = queue.join(districts.select(F.col("district_en").alias("district")).distinct(), "district", "left_semi").agg(F.min_by("district", "row_id").alias("district"))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from toponexus.deploy import ship
+
 #: Tries after the first, seconds before the first of them (doubled each time), partitions that ask at once.
 RETRIES, BACKOFF, WORKERS = 3, 0.3, 8
 
@@ -46,6 +48,7 @@ def from_mapping(table: dict[str, list[str]]) -> Fetch:
 
 def ask(keys: DataFrame, key: str, fetch: Fetch, workers: int = WORKERS) -> DataFrame:
     """Rows (key, cands) for distinct keys, asked from ``workers`` partitions at once."""
+    ship(keys.sparkSession)
     answer = with_retries(fetch)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
