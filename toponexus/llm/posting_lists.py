@@ -218,7 +218,7 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     """
     settings = settings or Settings()
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vector_col)
+    rows = usable(storage.small_batches(vectors), id_col, vector_col)
     shape = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n"), F.max("square").alias("square")).orderBy(F.desc("n"), "size").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if shape is None:

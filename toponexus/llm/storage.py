@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from toponexus.deploy import ship
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set in a local session, as in tests."""
@@ -30,7 +32,8 @@ _SETTING, _DEFAULT = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
 
 
 def small_batches(frame: DataFrame) -> DataFrame:
-    """``frame``, its session set to small Arrow batches where the setting is the default one. Results do not depend on it."""
+    """``frame``, its session set to small Arrow batches where the setting is the default one, and the package sent to its workers. Results do not depend on it."""
+    ship(frame.sparkSession)
     conf = frame.sparkSession.conf
     if conf.get(_SETTING) == _DEFAULT:
         conf.set(_SETTING, str(BATCH_ROWS))
