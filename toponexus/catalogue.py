@@ -481,10 +481,10 @@ def token_set_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     return full.select("x", "y", F.lit(True).alias("inside"))
 
 
-def _edges(spark: SparkSession, sf_dir: str, k: int = 5) -> DataFrame:
+def _edges(spark: SparkSession, sf_dir: str, k: int | None = 5) -> DataFrame:
     pairs = _pairs(spark, sf_dir)
     edges = pairs.select(F.col("eng_id"), F.col("eng_id").alias("eng_ord"), F.col("block").cast("string").alias("group"), "cand", F.col("cand_id").alias("cand_ord"), "score")
-    return assignment.prune(edges, k)
+    return edges if k is None else assignment.prune(edges, k)
 
 
 @query()
@@ -499,7 +499,7 @@ def optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sequential_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return assignment.in_order(_edges(spark, sf_dir), 60.0)
+    return assignment.in_order(_edges(spark, sf_dir, None), 60.0)
 
 
 def _linkage(spark: SparkSession, sf_dir: str, options: linkage.Options) -> linkage.Result:
