@@ -31,3 +31,25 @@ def product(options: Column, most: int | None = PHRASES) -> Column:
     start = F.array(F.lit(""))
     made = F.aggregate(options, start, step)
     return F.when(F.size(options) > 0, made).otherwise(F.array().cast("array<string>"))
+
+
+def place_in_product(options: Column, phrase: Column) -> Column:
+    """The first place (from 0) of ``phrase`` in the whole product of the options, null if it is not there.
+
+    Only beginnings of ``phrase`` are carried from word to word, so the product is never written out.
+    """
+    number = "decimal(38,0)"
+
+    def step(made: Column, words: Column) -> Column:
+        def longer(p: Column) -> Column:
+            return F.transform(
+                words, lambda w, i: F.struct(F.when(p["text"] == "", w).otherwise(F.concat_ws(" ", p["text"], w)).alias("text"), (p["nth"] * F.size(words) + i).cast(number).alias("nth"))
+            )
+
+        begun = F.filter(F.flatten(F.transform(made, longer)), lambda p: F.startswith(phrase, p["text"]))
+        # of equal beginnings the first in order leads to the first place
+        return F.filter(begun, lambda p: F.forall(begun, lambda q: (q["text"] != p["text"]) | (q["nth"] >= p["nth"])))
+
+    start = F.array(F.struct(F.lit("").alias("text"), F.lit(0).cast(number).alias("nth")))
+    made = F.filter(F.aggregate(options, start, step), lambda p: p["text"] == phrase)
+    return F.array_min(F.transform(made, lambda p: p["nth"]))

@@ -22,9 +22,13 @@ def dictionary_lookup(names: DataFrame, master: DataFrame, answers: DataFrame, g
     split = forms.select("row_id", "name", "form", F.posexplode(text.words(F.col("key"))).alias("pos", "token"))
     known = split.join(answers, "token", "left").withColumn("options", phrases.word_options(F.col("token"), F.col("cands"), None))
     ordered = known.groupBy("row_id", "name", "form").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "options"))), lambda x: x["options"]).alias("options"))
-    made = ordered.select("row_id", "name", "form", F.posexplode(phrases.product(F.col("options"))).alias("nth", "match"))
+    # a phrase's first word is a word of some option, so only the names that begin with one are walked
+    heads = F.array_distinct(F.flatten(F.transform(F.flatten("options"), lambda x: F.split(x, " "))))
+    begun = ordered.withColumn("head", F.explode(heads))
+    listed = master.where("name is not null").select(F.col("name").alias("match")).distinct().withColumn("head", F.element_at(F.split(F.ltrim("match"), " "), 1))
+    made = begun.join(listed, "head").select("row_id", "name", "form", "match", phrases.place_in_product(F.col("options"), F.col("match")).alias("nth")).where("nth is not null")
     options = made.withColumn("pos", F.struct("form", "nth"))
-    hits = relational.first_hit(options, master.select(F.col("name").alias("match")), "row_id", "pos", "match", ["name"])
+    hits = relational.first_hit(options, listed.select("match"), "row_id", "pos", "match", ["name"])
     return hits.select("row_id", "name", F.col("pos.form").alias("form"), F.col("pos.nth").alias("nth"), "match")
 
 
