@@ -107,30 +107,114 @@ def test_loser_tree_merges_front_coded_runs():
             assert shared[i] == next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
 
 
-@pytest.mark.parametrize("chunk_bytes", [500, 1 << 20])
-def test_line_templates(spark, chunk_bytes):
-    rows = corpus(2)
-    who = defaultdict(set)
+def templates(rows, min_tokens=3, depth=3, variety=5, fixed=0.5):
+    """The template of each line, leaf by leaf over all rows."""
+    def tokens(line):
+        return ["<*>" if re.search("[0-9@]", w) else w for w in WORD.findall(line)]
+
+    seen = defaultdict(set)
+    lines = {line for _, t in rows for line in (t or "").split("\n")}
+    for line in lines:
+        found = tokens(line)
+        for i, w in enumerate(found[depth:], depth):
+            seen[len(found), tuple(found[:depth]), i].add(w)
+    out = {}
+    for line in lines:
+        found = tokens(line)
+        if len(found) >= min_tokens:
+            general = [w if i < depth or len(seen[len(found), tuple(found[:depth]), i]) <= variety else "<*>" for i, w in enumerate(found)]
+            literal = sum(w != "<*>" for w in general)
+            out[line] = " ".join(general if literal >= fixed * len(general) else found)
+    return out
 
-    def template(line):
-        words = WORD.findall(line)
-        return " ".join("<*>" if re.search("[0-9@]", w) else w for w in words) if len(words) >= 3 else None
 
+def lines_kept(rows, min_docs, **settings):
+    of, who = templates(rows, **settings), defaultdict(set)
     for i, t in rows:
         for line in (t or "").split("\n"):
-            if template(line):
-                who[template(line)].add(i)
-    got = line_templates.drop_recurring(frame(spark, rows), min_docs=3, chunk_bytes=chunk_bytes).collect()
+            if line in of:
+                who[of[line]].add(i)
+    out = {}
+    for i, t in rows:
+        lines = (t or "").split("\n")
+        out[i] = lines, [x for x in lines if not (x in of and len(who[of[x]]) >= min_docs and min(who[of[x]]) != i)]
+    return out
+
+
+def named_lines(n=30, seed=9):
+    """Documents with lines whose variable fields are plain words, and prose that shares a beginning only."""
+    rng = random.Random(seed)
+    names = ["Ann", "Bob", "Cho", "Dee", "Eve", "Fay", "Gus", "Hal", "Ida", "Jo"]
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+    rows = []
+    for i in range(n):
+        lines = [f"Posted on day by {rng.choice(names)} in the main forum", "at the end " + " ".join(rng.choice(words) for _ in range(6)), f"Share this page with {rng.choice(names[:2])} and others"]
+        rows.append((i, "\n".join(lines[: 1 + i % 3])))
+    return rows
+
+
+@pytest.mark.parametrize("chunk_bytes", [500, 1 << 20])
+@pytest.mark.parametrize("settings", [{}, {"depth": 1}, {"depth": 6}, {"variety": 1, "fixed": 0.2}])
+def test_line_templates(spark, chunk_bytes, settings):
+    rows = corpus(2) + [(100 + i, t) for i, t in named_lines()]
+    want = lines_kept(rows, 3, **settings)
+    got = line_templates.drop_recurring(frame(spark, rows), min_docs=3, chunk_bytes=chunk_bytes, **settings).collect()
     assert len(got) == len(rows)
-    texts = dict(rows)
     for r in got:
-        lines = (texts[r.doc_id] or "").split("\n")
-        kept = [x for x in lines if not (template(x) and len(who[template(x)]) >= 3 and min(who[template(x)]) != r.doc_id)]
+        lines, kept = want[r.doc_id]
         assert (r.n_lines, r.n_dropped, r.kept_text) == (len(lines), len(lines) - len(kept), "\n".join(kept))
         assert r.kept_sha256 == digest("\n".join(kept).encode())
     assert sum(r.n_dropped for r in got) > 5
 
 
+def test_leaves_generalise_words_and_leave_prose(spark):
+    rows = named_lines()
+    for depth, left in ((3, 1), (6, 10)):  # a path through the name keeps the names apart
+        got = line_templates.drop_recurring(frame(spark, rows), min_docs=12, depth=depth).collect()
+        kept = [line for r in got for line in r.kept_text.split("\n")]
+        assert sum(line.startswith("Posted") for line in kept) >= left and sum(line.startswith("at the end") for line in kept) == 20
+        assert (sum(line.startswith("Posted") for line in kept) == 1) == (depth == 3)
+        assert all(line.startswith(("Posted", "at the end", "Share")) or not line for line in kept)
+
+
+def mirror_words():
+    """Two unequal words whose sums of value times power agree modulo 2**64 for all values and odd multipliers."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_of_equal_hash_are_told_apart(spark):
+    from tokenizers import Tokenizer
+
+    from toponexus.llm import unigram
+    from toponexus.llm.hashing import byte_sums, range_hashes
+
+    one, other = mirror_words()
+    both = np.frombuffer((one + other).encode(), dtype=np.uint8)
+    assert len(set(range_hashes(byte_sums(both), np.array([0, 1024]), np.array([1024, 2048]), "bytes").tolist())) == 1
+    rest = " one two three four five six seven eight nine ten eleven twelve"
+    rows = [(i, (one if i % 2 else other) + rest) for i in range(8)] + [(8, f"{one} {other} {one}"), (9, f"{other} {one} {other}")]
+    texts = dict(rows)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    docs = frame(spark, rows).coalesce(1)
+    ids = defaultdict(list)
+    for r in sorted(packing.pack(docs, path).collect(), key=lambda r: (r.doc_id, r.start)):
+        ids[r.doc_id] += np.frombuffer(r.ids, dtype="<u4").tolist()
+    assert all(ids[i] == [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in rows)
+    found = unigram.encode(docs, public_tokenizers.path("piece_bpe_32k.model")).collect()
+    assert all(r.lossless and r.decoded_sha256 == digest(texts[r.doc_id].encode()) for r in found)
+    for chunk_bytes in (500, 1 << 20):
+        got = {r.doc_id: r.n_removed for r in block_repeats.remove_repeats(docs, chunk_bytes=chunk_bytes).collect()}
+        assert got == {0: 0, 1: 0, **dict.fromkeys(range(2, 8), 13), 8: 0, 9: 0}
+        want = lines_kept(rows, 4)
+        kept = {r.doc_id: r.kept_text for r in line_templates.drop_recurring(docs, min_docs=4, chunk_bytes=chunk_bytes).collect()}
+        assert kept == {i: "\n".join(x[1]) for i, x in want.items()}
+        assert {i for i, t in kept.items() if t} == {0, 1, 8, 9}
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 

@@ -4,8 +4,9 @@ Each document's words are cut into non-overlapping reference blocks of ``block``
 indexed by hash; every rolling window of ``block`` words of every document probes the index. A
 window of ``2 * block - 1`` words or more holds at least one whole reference block, so a repeat of
 that length has a hit whichever of its copies is the earlier. Hits are extended on both sides to all
-windows of ``window`` words around them; a second exchange finds each such window's first document,
-and the union of the windows that are not first is the maximal exact repeats.
+windows of ``window`` words around them; a second exchange, of 128-bit digests of their words, finds
+each such window's first document, and the union of the windows that are not first is the maximal
+exact repeats.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from toponexus.llm import chunks as C
-from toponexus.llm.hashing import Words, prefix_sums, rolling_hashes
+from toponexus.llm.hashing import Words, digests, prefix_sums, rolling_hashes
 
-#: Bits of a block's hash; a chance meeting only adds windows to the second, 64-bit exchange.
+#: Bits of a block's hash; a chance meeting only adds windows to the second exchange.
 BLOCK_BITS = 40
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_text string, kept_sha256 string"
 
@@ -65,13 +66,21 @@ def _candidates(runs: list[bytes]) -> list[bytes]:
     return C.bitmaps(out, sizes)
 
 
-def _windows(words: Words, starts: np.ndarray, window: int) -> np.ndarray:
-    return rolling_hashes(prefix_sums(words.hashes, "words"), window, "words")[starts]
+def _windows(data: np.ndarray, words: Words, starts: np.ndarray, window: int) -> np.ndarray:
+    """A 128-bit digest of the words of each window, which decides whether windows are equal."""
+    used = np.zeros(len(words.starts) + window, dtype=np.int64)
+    used[starts] += 1
+    used[starts + window] -= 1
+    some = np.flatnonzero(np.cumsum(used)[: len(words.starts)])
+    text, places = join_words(data, words.starts[some], words.ends[some])
+    first = np.searchsorted(some, starts)
+    # a window's words are all used ones, so they follow one another in the joined text
+    return digests(text[a : b - 1] for a, b in zip(places[first].tolist(), places[first + window].tolist(), strict=True))
 
 
 def _local(chunk: C.Chunk, words: Words, starts: np.ndarray, window: int):
-    """Distinct window hashes with their first local document, and each window's place among them."""
-    order, group, keys = C.distinct_sorted(_windows(words, starts, window))
+    """Distinct window digests with their first local document, and each window's place among them."""
+    order, group, keys = C.distinct_pairs(_windows(chunk.data, words, starts, window))
     owner = chunk.ids[words.doc[starts]]
     first = np.full(len(keys), C.NULL_ID, dtype=np.int64)
     np.minimum.at(first, group, owner[order])
@@ -97,8 +106,8 @@ def _second_runs(block: int, window: int, bits: int):
         mask[starts] = True
         side = C.squeeze(np.packbits(mask).tobytes())
         keys, first, _, _ = _local(chunk, words, starts, window)
-        for bucket, a, b in C.split_sorted(keys, 64, bits):
-            yield bucket, C.pack_arrays(*C.code_sorted(keys[a:b]), first[a:b]), side
+        for bucket, a, b in C.split_sorted(keys[:, 0], 64, bits):
+            yield bucket, C.pack_arrays(*C.code_pairs(keys[a:b]), first[a:b]), side
             side = None
         if side is not None:
             yield 0, None, side
@@ -110,11 +119,11 @@ def _repeats(runs: list[bytes]) -> list[bytes]:
     """A key repeats if another chunk has it in a document with a smaller id."""
     keys, docs, sizes = [], [], []
     for run in runs:
-        first, steps, doc = C.unpack_arrays(run)
-        keys.append(C.decode_sorted(first, steps))
+        *coded, doc = C.unpack_arrays(run)
+        keys.append(C.decode_pairs(*coded))
         docs.append(doc)
         sizes.append(len(doc))
-    order, group, distinct = C.distinct_sorted(np.concatenate(keys))
+    order, group, distinct = C.distinct_pairs(np.concatenate(keys))
     doc = np.concatenate(docs)[order]
     least = np.full(len(distinct), C.NULL_ID, dtype=np.int64)
     np.minimum.at(least, group, doc)
@@ -140,7 +149,7 @@ def _finish(window: int, bits: int, with_text: bool):
         n = len(words.hashes)
         starts = np.flatnonzero(np.unpackbits(np.frombuffer(C.expand(side), dtype=np.uint8), count=n))
         keys, first, place, owner = _local(chunk, words, starts, window)
-        repeated = C.answer_bits(answers, C.split_sorted(keys, 64, bits), len(keys))[place] | (owner > first[place])
+        repeated = C.answer_bits(answers, C.split_sorted(keys[:, 0], 64, bits), len(keys))[place] | (owner > first[place])
         cover = np.zeros(n + window + 1, dtype=np.int64)
         cover[starts[repeated]] += 1
         cover[starts[repeated] + window] -= 1

@@ -298,6 +298,24 @@ def distinct_sorted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return order, np.cumsum(new) - 1, ordered[new]
 
 
+def distinct_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``distinct_sorted`` for 128-bit keys, rows of two integers; the first one orders them."""
+    order = np.lexsort((keys[:, 1], keys[:, 0]))
+    ordered = keys[order]
+    new = np.ones(len(ordered), dtype=bool)
+    new[1:] = (ordered[1:] != ordered[:-1]).any(axis=1)
+    return order, np.cumsum(new) - 1, ordered[new]
+
+
+def code_pairs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted 128-bit keys: the first halves as ``code_sorted`` has them, and the second halves."""
+    return *code_sorted(keys[:, 0]), keys[:, 1]
+
+
+def decode_pairs(first: np.ndarray, steps: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return np.stack([decode_sorted(first, steps), second], axis=1)
+
+
 def answer_bits(answers: dict[int, bytes], pieces: list[tuple[int, int, int]], n: int) -> np.ndarray:
     """One flag for each key sent, from the bitmaps that came back."""
     out = np.zeros(n, dtype=bool)

@@ -2,10 +2,17 @@
 
 A range's hash is read from prefix sums: h(i, j) = (S[j] - S[i]) * m**-i over unsigned 64-bit
 integers, where S sums value[k] * m**k. The multiplier m is odd and so has an inverse.
+
+Such a hash finds candidates and decides nothing: there are unequal texts (a Thue-Morse word of 1024
+letters and its mirror image) that share it whatever the multiplier. Whether texts are equal is
+decided by their bytes (``Memo``) or by 128 bits of BLAKE2b over their bytes (``digests``).
 """
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Callable, Iterable
+
 import numpy as np
 
 U64 = np.uint64
@@ -154,3 +161,129 @@ class HashTable:
             won = self.keys[spot] == keys
             self.numbers[spot[won]] = numbers[won]
             keys, numbers, spot = keys[~won], numbers[~won], (spot[~won] + 1) & last
+
+
+def digests(texts: Iterable[bytes]) -> np.ndarray:
+    """128 bits of BLAKE2b for each text, as a row of two 64-bit integers."""
+    blake = hashlib.blake2b
+    return np.frombuffer(b"".join([blake(x, digest_size=16).digest() for x in texts]), dtype=">u8").astype(np.uint64).reshape(-1, 2)
+
+
+def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The concatenated ranges [start, start + size)."""
+    ends = np.cumsum(sizes)
+    out = np.arange(ends[-1] if len(ends) else 0)
+    out += np.repeat(starts - (ends - sizes), sizes)
+    return out
+
+
+class Rows:
+    """Rows of various lengths, end to end in one array that grows."""
+
+    def __init__(self, dtype: type):
+        self.flat = np.zeros(1 << 18, dtype=dtype)
+        self.starts, self.sizes = (np.zeros(1 << 12, dtype=np.int64) for _ in range(2))
+        self.count = self.filled = 0
+
+    def add(self, sizes: np.ndarray, flat: np.ndarray) -> np.ndarray:
+        """The numbers of the new rows."""
+        while self.count + len(sizes) > len(self.sizes):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
+        while self.filled + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        own = slice(self.count, self.count + len(sizes))
+        self.sizes[own], self.starts[own] = sizes, self.filled + np.cumsum(sizes) - sizes
+        self.flat[self.filled : self.filled + len(flat)] = flat
+        self.count += len(sizes)
+        self.filled += len(flat)
+        return np.arange(own.start, own.stop)
+
+    def take(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of rows, and the rows end to end."""
+        sizes = self.sizes[rows]
+        return sizes, self.flat[ranges(self.starts[rows], sizes)]
+
+
+#: For the places of some strings: sizes of their ids, the ids end to end, and a score for each string.
+Work = Callable[[np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+class Memo:
+    """Ids and scores worked out for byte strings met before, found by hash and told apart by their bytes.
+
+    Unequal strings that share a hash each get a row of their own; only the first of them is found again.
+    """
+
+    def __init__(self, most: int):
+        self.most = most
+        self._start()
+
+    def _start(self) -> None:
+        self.table, self.texts, self.ids = HashTable(), Rows(np.uint8), Rows(np.uint32)
+        self.keys, self.scores, self.uses = np.zeros(0, dtype=np.uint64), np.zeros(0), np.zeros(0, dtype=np.int32)
+
+    def _add(self, keys: np.ndarray, texts: tuple[np.ndarray, np.ndarray], found: tuple[np.ndarray, np.ndarray, np.ndarray], uses: np.ndarray) -> np.ndarray:
+        sizes, ids, scores = found
+        rows = self.texts.add(*texts)
+        self.ids.add(sizes, ids)
+        if self.texts.count > len(self.keys):
+            room = 2 * self.texts.count
+            self.keys, self.scores, self.uses = (np.concatenate([x, np.zeros(room - len(x), dtype=x.dtype)]) for x in (self.keys, self.scores, self.uses))
+        self.keys[rows], self.scores[rows], self.uses[rows] = keys, scores, uses
+        known = keys != 0
+        self.table.add(keys[known], rows[known])
+        return rows
+
+    def _forget(self) -> None:
+        """Make room: strings met once go, and beyond half the room those met less than the median."""
+        uses = self.uses[: self.texts.count]
+        stay = (uses > 1) & (self.keys[: len(uses)] != 0)
+        if stay.sum() > self.most // 2:
+            stay &= uses > np.median(uses[stay])
+        rows = np.flatnonzero(stay)
+        old = self.keys[rows], self.texts.take(rows), (*self.ids.take(rows), self.scores[rows]), np.zeros(len(rows), dtype=np.int32)
+        self._start()
+        self._add(*old)
+
+    def rows(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, work: Work) -> np.ndarray:
+        """The row of each string; ``work`` is asked for those that are new."""
+        if self.texts.count > self.most:
+            self._forget()
+        sizes = ends - starts
+        keys = np.maximum(range_hashes(byte_sums(data), starts, ends, "bytes"), 1)
+        order = np.argsort(keys)
+        ordered = keys[order]
+        new = np.ones(len(ordered), dtype=bool)
+        new[1:] = ordered[1:] != ordered[:-1]
+        group = np.cumsum(new) - 1
+        distinct, sample = ordered[new], order[new]
+        index = self.table.find(distinct)
+        fresh = np.flatnonzero(index < 0)
+
+        def learn(some: np.ndarray, known: np.ndarray) -> np.ndarray:
+            return self._add(known, (sizes[some], data[ranges(starts[some], sizes[some])]), work(some), np.zeros(len(some), dtype=np.int32))
+
+        for a in range(0, len(fresh), 1 << 15):
+            part = fresh[a : a + (1 << 15)]
+            index[part] = learn(sample[part], distinct[part])
+        self.uses[index] += np.bincount(group, minlength=len(distinct)).astype(np.int32)
+        out = np.empty(len(starts), dtype=np.int64)
+        out[order] = index[group]
+        others = self._unlike(out, data, starts, sizes)
+        if len(others):
+            alike: dict[bytes, list[int]] = {}
+            for i in others.tolist():
+                alike.setdefault(data[starts[i] : ends[i]].tobytes(), []).append(i)
+            firsts = np.array([same[0] for same in alike.values()])
+            for row, same in zip(learn(firsts, np.zeros(len(firsts), dtype=np.uint64)).tolist(), alike.values(), strict=True):
+                out[same] = row
+        return out
+
+    def _unlike(self, rows: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The strings whose bytes are not those of their row."""
+        same = self.texts.sizes[rows] == sizes
+        alike = np.flatnonzero(same)
+        own = sizes[alike]
+        differ = np.flatnonzero(data[ranges(starts[alike], own)] != self.texts.flat[ranges(self.texts.starts[rows[alike]], own)])
+        same[alike[np.searchsorted(np.cumsum(own), differ, "right")]] = False
+        return np.flatnonzero(~same)

@@ -25,14 +25,13 @@ from pyspark.sql import Window as W
 
 from toponexus.llm import storage
 from toponexus.llm.chunks import column_bytes, give_back
-from toponexus.llm.hashing import BYTE_VALUES, HashTable, byte_sums, mix, range_hashes, spans_of_words
+from toponexus.llm.hashing import Memo, spans_of_words
 
 #: Words whose ids a worker keeps at once; beyond it those met seldom make room.
 WORDS_KEPT = 450_000
 #: Bytes that part words here; other white space stays inside a word and is the tokenizer's.
 _BREAKS = np.zeros(256, dtype=bool)
 _BREAKS[[10, 32]] = True
-_SECOND_VALUES = mix(BYTE_VALUES + np.uint64(1))
 #: The parts of a printable lower-case ASCII word without an apostrophe: letters, a digit, other signs.
 _PLAIN = re.compile(r"[a-z]+|[0-9]|[^a-z0-9]+").findall
 TOKENS_SCHEMA = "part int, doc_id long, local_start long, doc_tokens long, ids binary"
@@ -43,9 +42,9 @@ class WordTokenizer:
     """Ids of whole texts by a tokenizer file, with the ids of each word looked up once.
 
     The file's splitting rules never join what white space parts, so a text's ids are those of its
-    space- and newline-separated words in turn. Words are told apart by two 64-bit hashes, taken over
-    all bytes of a batch at once; only words that are new to the worker are encoded. The rules also
-    part letters from other signs: a word's plain parts are encoded many at once, and each ends in
+    space- and newline-separated words in turn. Words are found by hashes, taken over all bytes of a
+    batch at once, and told apart by their bytes; only words that are new to the worker are encoded.
+    The rules also part letters from other signs: a word's plain parts are encoded many at once, and each ends in
     exactly one id whose piece closes a part.
     """
 
@@ -58,41 +57,7 @@ class WordTokenizer:
         self.closes = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         if suffix:
             self.closes[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
-        self._start()
-
-    def _start(self) -> None:
-        self.known = HashTable()
-        self.first, self.second = (np.zeros(1 << 16, dtype=np.uint64) for _ in range(2))
-        self.sizes, self.uses = (np.zeros(1 << 16, dtype=np.int32) for _ in range(2))
-        self.starts = np.zeros(1 << 16, dtype=np.int64)
-        self.flat = np.zeros(1 << 18, dtype=np.uint32)
-        self.count = self.filled = 0
-
-    def _add(self, firsts: np.ndarray, seconds: np.ndarray, sizes: np.ndarray, flat: np.ndarray) -> None:
-        while self.count + len(sizes) > len(self.sizes):
-            self.sizes, self.starts, self.uses, self.first, self.second = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts, self.uses, self.first, self.second))
-        while self.filled + len(flat) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        ends = self.filled + np.cumsum(sizes)
-        own = slice(self.count, self.count + len(sizes))
-        self.sizes[own], self.starts[own], self.second[own], self.uses[own] = sizes, ends - sizes, seconds, 0
-        self.flat[self.filled : self.filled + len(flat)] = flat
-        self.first[own] = firsts
-        self.known.add(firsts, np.arange(self.count, self.count + len(sizes)))
-        self.count += len(sizes)
-        self.filled += len(flat)
-
-    def _forget(self) -> None:
-        """Make room: words met once go, and beyond half the room those met less than the median."""
-        uses = self.uses[: self.count]
-        stay = uses > 1
-        if stay.sum() > WORDS_KEPT // 2:
-            stay &= uses > np.median(uses[stay])
-        firsts = self.first[: self.count][stay]
-        seconds, sizes, starts = self.second[: self.count][stay], self.sizes[: self.count][stay].astype(np.int64), self.starts[: self.count][stay]
-        flat = self.flat[_ranges(starts, sizes)]
-        self._start()
-        self._add(firsts, seconds, sizes, flat)
+        self.known = Memo(WORDS_KEPT)
 
     def _encode(self, words: list[str]) -> list[np.ndarray]:
         return [np.array(found.ids, dtype=np.uint32) for found in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
@@ -132,42 +97,17 @@ class WordTokenizer:
 
     def batch(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, given as concatenated UTF-8, and each text's count."""
-        if self.count > WORDS_KEPT:
-            self._forget()
         starts, ends = spans_of_words(data, offsets, _BREAKS)
-        first = np.maximum(range_hashes(byte_sums(data), starts, ends, "bytes"), 1)
-        second = range_hashes(byte_sums(data, _SECOND_VALUES), starts, ends, "bytes")
-        order = np.argsort(first)
-        ordered = first[order]
-        new = np.ones(len(ordered), dtype=bool)
-        new[1:] = ordered[1:] != ordered[:-1]
-        group = np.cumsum(new) - 1
-        distinct, sample = ordered[new], order[new]
-        if (second[order] != second[sample][group]).any():
-            raise RuntimeError("two words share a 64-bit hash")
-        index = self.known.find(distinct)
-        fresh = np.flatnonzero(index < 0)
-        if len(fresh):
-            body, a, b = data.tobytes(), starts[sample[fresh]].tolist(), ends[sample[fresh]].tolist()
-            ids = self.ids_of([body[x:y].decode() for x, y in zip(a, b, strict=True)])
-            index[fresh] = np.arange(self.count, self.count + len(fresh))
-            self._add(distinct[fresh], second[sample[fresh]], np.array([len(x) for x in ids], dtype=np.int64), np.concatenate(ids))
-        if (self.second[index] != second[sample]).any():
-            raise RuntimeError("two words share a 64-bit hash")
-        self.uses[index] += np.bincount(group, minlength=len(distinct))
-        of_word = np.empty(len(starts), dtype=np.int64)
-        of_word[order] = index[group]
-        sizes = self.sizes[of_word].astype(np.int64)
-        total = np.concatenate([[0], np.cumsum(sizes)])
-        return self.flat[_ranges(self.starts[of_word], sizes)], np.diff(total[np.searchsorted(starts, offsets)])
+        body = data.tobytes()
 
+        def work(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            ids = self.ids_of([body[x:y].decode() for x, y in zip(starts[some].tolist(), ends[some].tolist(), strict=True)])
+            return np.array([len(x) for x in ids], dtype=np.int64), np.concatenate(ids), np.zeros(len(ids))
 
-def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """The concatenated ranges [start, start + size)."""
-    ends = np.cumsum(sizes)
-    out = np.arange(ends[-1] if len(ends) else 0)
-    out += np.repeat(starts - (ends - sizes), sizes)
-    return out
+        rows = self.known.rows(data, starts, ends, work)
+        sizes, ids = self.known.ids.take(rows)
+        total = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(total[np.searchsorted(starts, offsets)])
 
 
 @lru_cache(maxsize=2)

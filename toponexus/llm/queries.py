@@ -130,10 +130,23 @@ ORACLES: dict[str, str] = {
         lines AS (
             SELECT doc_id, p, l[p] AS line, regexp_extract_all(l[p], '[^\x20\x09-\x0D]+') AS w
             FROM parts, LATERAL (SELECT unnest(range(1, len(l) + 1)) AS p)),
-        templates AS (
-            SELECT doc_id, p, line, CASE WHEN len(w) >= 3 THEN
-                   array_to_string([CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END FOR x IN w], ' ') END AS t
+        masked AS (
+            SELECT doc_id, p, line, CASE WHEN len(w) >= 3 THEN [CASE WHEN regexp_matches(x, '[0-9@]') THEN '<*>' ELSE x END FOR x IN w] END AS m
             FROM lines),
+        tokens AS (
+            SELECT m[1:3] AS path, len(m) AS n, i, m[i] AS token
+            FROM (SELECT DISTINCT m FROM masked WHERE len(m) > 3), LATERAL (SELECT unnest(range(4, len(m) + 1)) AS i)),
+        varied AS (
+            SELECT path, n, i FROM tokens GROUP BY path, n, i HAVING count(DISTINCT token) > 5),
+        wild AS (SELECT path, n, list(i) AS gone FROM varied GROUP BY path, n),
+        general AS (
+            SELECT doc_id, p, line, m, CASE WHEN gone IS NULL THEN m ELSE
+                   [CASE WHEN list_contains(gone, i) THEN '<*>' ELSE m[i] END FOR i IN range(1, len(m) + 1)] END AS g
+            FROM masked LEFT JOIN wild ON wild.path = m[1:3] AND wild.n = len(m)),
+        templates AS (
+            SELECT doc_id, p, line, CASE WHEN m IS NULL THEN NULL
+                   ELSE array_to_string(CASE WHEN len([x FOR x IN g IF x <> '<*>']) >= 0.5 * len(g) THEN g ELSE m END, ' ') END AS t
+            FROM general),
         recurring AS (
             SELECT t, min(doc_id) AS d FROM templates WHERE t IS NOT NULL GROUP BY t HAVING count(DISTINCT doc_id) >= 10),
         marked AS (

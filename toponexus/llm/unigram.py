@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toponexus.llm.chunks import column_bytes
-from toponexus.llm.hashing import BYTE_VALUES, HashTable, byte_sums, mix, range_hashes
+from toponexus.llm.hashing import Memo, ranges
 from toponexus.llm.storage import small_batches
 
 MARK = "▁"
@@ -34,7 +34,6 @@ PARTS_KEPT = 1_000_000
 UNKNOWN_PENALTY = 10.0
 #: Scores at or below this are a sentinel for pieces that are hardly worth taking.
 LEAST_SCORE = -1e8
-_SECOND_VALUES = mix(BYTE_VALUES + np.uint64(2))
 SCHEMA = "doc_id long, n_ids long, n_byte_ids long, n_unknown long, log_score double, ids binary, ids_crc32 long, decoded_sha256 string, lossless boolean"
 
 
@@ -121,15 +120,7 @@ class Unigram:
             self._raw[i] = self.pieces[i].encode()
         for value, i in enumerate(self.byte_ids if self.byte_ids is not None else []):
             self._raw[i] = bytes([value])
-        self._start()
-
-    def _start(self) -> None:
-        self.known = HashTable()
-        self.second = np.zeros(1 << 12, dtype=np.uint64)
-        self.starts, self.sizes, self.uses = (np.zeros(1 << 12, dtype=np.int64) for _ in range(3))
-        self.best = np.zeros(1 << 12)
-        self.flat = np.zeros(1 << 14, dtype=np.uint32)
-        self.count = self.filled = 0
+        self.known = Memo(PARTS_KEPT)
 
     def segment(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Viterbi over each of the concatenated parts: ids, ids per part, score per part.
@@ -212,47 +203,21 @@ class Unigram:
             ids = np.where(gone, self.unknown, ids)
         return ids.astype(np.uint32), np.bincount(who, minlength=count), best[end]
 
-    def _learn(self, firsts: np.ndarray, seconds: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> None:
-        ids, sizes, best = self.segment(data, offsets)
-        while self.count + len(sizes) > len(self.sizes):
-            self.sizes, self.starts, self.uses, self.second, self.best = (np.concatenate([x, np.zeros_like(x)]) for x in (self.sizes, self.starts, self.uses, self.second, self.best))
-        while self.filled + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        own = slice(self.count, self.count + len(sizes))
-        self.sizes[own], self.second[own], self.best[own], self.uses[own] = sizes, seconds, best, 0
-        self.starts[own] = self.filled + np.cumsum(sizes) - sizes
-        self.flat[self.filled : self.filled + len(ids)] = ids
-        self.known.add(firsts, np.arange(self.count, self.count + len(sizes)))
-        self.count += len(sizes)
-        self.filled += len(ids)
-
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids of all texts, given as concatenated UTF-8; ids and log score of each text."""
-        if self.count > PARTS_KEPT:
-            self._start()
         marked, bounds = mark_spaces(data, offsets)
         starts, ends, of_text = split_marked(marked, bounds)
-        first = np.maximum(range_hashes(byte_sums(marked), starts, ends, "bytes"), 1)
-        second = range_hashes(byte_sums(marked, _SECOND_VALUES), starts, ends, "bytes")
-        distinct, sample, group = np.unique(first, return_index=True, return_inverse=True)
-        index = self.known.find(distinct)
-        fresh = np.flatnonzero(index < 0)
-        for a in range(0, len(fresh), 1 << 15):
-            some = sample[fresh[a : a + (1 << 15)]]
+
+        def work(some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             sizes = ends[some] - starts[some]
-            total = np.concatenate([[0], np.cumsum(sizes)])
-            part = marked[np.arange(total[-1]) + np.repeat(starts[some] - total[:-1], sizes)]
-            base = self.count
-            self._learn(distinct[fresh[a : a + len(some)]], second[some], part, total)
-            index[fresh[a : a + len(some)]] = np.arange(base, base + len(some))
-        if (self.second[index][group] != second).any():
-            raise RuntimeError("two parts share a 64-bit hash")
-        each = index[group]
-        sizes = self.sizes[each]
+            ids, counts, scores = self.segment(marked[ranges(starts[some], sizes)], np.concatenate([[0], np.cumsum(sizes)]))
+            return counts, ids, scores
+
+        each = self.known.rows(marked, starts, ends, work)
+        sizes, flat = self.known.ids.take(each)
         total = np.concatenate([[0], np.cumsum(sizes)])
-        flat = self.flat[np.arange(total[-1]) + np.repeat(self.starts[each] - total[:-1], sizes)]
         edges = np.searchsorted(of_text, np.arange(len(offsets)))
-        scores = np.add.reduceat(np.append(self.best[each], 0.0), np.minimum(edges[:-1], len(each))) if len(offsets) > 1 else np.zeros(0)
+        scores = np.add.reduceat(np.append(self.known.scores[each], 0.0), np.minimum(edges[:-1], len(each))) if len(offsets) > 1 else np.zeros(0)
         scores[edges[1:] == edges[:-1]] = 0
         return flat, np.diff(total[edges]), scores
 
