@@ -11,6 +11,8 @@ Rows with equal fingerprints count once. Cells of up to ``CELL`` fingerprints co
 cell would hold more, its fingerprints are linked exactly through *balls* instead of pairs: two
 fingerprints are within 3 bits exactly if some word is within 1 bit of one and 2 bits of the other,
 which takes a fixed number of rows for each fingerprint, whatever the size of the group.
+
+``near_duplicates`` links by fingerprints alone; ``similar`` checks the sets of shingles themselves.
 """
 
 from __future__ import annotations
@@ -20,15 +22,14 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toponexus.llm import components
-from toponexus.llm.chunks import column_bytes, give_back
+from toponexus.llm import components, near_copies
+from toponexus.llm.chunks import give_back
+from toponexus.llm.shingles import prints_of, shingle_hashes, text_blocks
 from toponexus.llm.storage import keep, small_batches
 
-SEED = 42
 BANDS, EQUAL_BANDS, RADIUS = 6, 3, 3
 #: Fingerprints that a cell compares among themselves; larger cells go through balls.
 CELL = 4096
@@ -42,48 +43,15 @@ _PAIRS = np.uint64(0x5555555555555555)
 
 def fingerprints(texts: list[bytes], words: int) -> np.ndarray:
     """The SimHash of each text."""
-    hashes: list[int] = []
-    sizes = []
-    digest = xxhash.xxh64_intdigest
-    for text in texts:
-        parts = text.lower().split()  # of bytes: A-Z only, and the six ASCII spaces
-        n = len(parts)
-        if n <= words:
-            sizes.append(1 if n else 0)
-            if n:
-                hashes.append(digest(b" ".join(parts), SEED))
-            continue
-        sizes.append(n - words + 1)
-        line = b" ".join(parts)
-        ends = np.cumsum([len(x) + 1 for x in parts])
-        firsts = [0, *ends[: n - words].tolist()]
-        hashes += [digest(line[a:b], SEED) for a, b in zip(firsts, (ends[words - 1 :] - 1).tolist(), strict=True)]
-    values = np.array(hashes, dtype=np.uint64)
-    out = np.zeros(len(texts), dtype=np.uint64)
-    at = 0
-    block = 1 << 16
-    for i, size in enumerate(sizes):
-        ones = np.zeros(64, dtype=np.int64)
-        for a in range(at, at + size, block):
-            part = values[a : min(a + block, at + size)].astype("<u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        at += size
-        out[i] = np.packbits(2 * ones > size, bitorder="little").view("<u8")[0]
-    return out
+    return prints_of(*shingle_hashes(texts, words))
 
 
-def _fingerprint_rows(words: int, batch_bytes: int = 1 << 21):
+def _fingerprint_rows(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = column_bytes(batch.column(1))
-            body = data.tobytes()
             out = np.empty(batch.num_rows, dtype=np.uint64)
-            a = 0
-            while a < batch.num_rows:
-                b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + batch_bytes, "right")) - 1)
-                places = offsets[a : b + 1].tolist()
-                out[a:b] = fingerprints([body[x:y] for x, y in zip(places[:-1], places[1:], strict=True)], words)
-                a = b
+            for a, b, texts in text_blocks(batch, 1):
+                out[a:b] = fingerprints(texts, words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out.view(np.int64))], ["doc_id", "fp"])
         give_back()
 
@@ -238,3 +206,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     named = named.join(least, "root").select("fp", "component_id", "class_size")
     out = marked.join(named, "fp")
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "class_size")
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, least: float = 0.8) -> DataFrame:
+    """Rows (doc_id, component_id): components of documents linked at a Jaccard similarity of ``least`` or more.
+
+    The operator with an exact check by sets of shingles: the grid proposes what lies within 3 bits. More
+    similar sets than those can lie further apart, up to a dozen bits, where the grid has no cells that are both few and
+    small; minhash bands propose them. See ``near_copies`` for nulls, repeats and empty tables.
+    """
+    return near_copies.near_copies(docs, id_col, text_col, words, least, links)
