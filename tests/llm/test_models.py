@@ -57,6 +57,30 @@ def test_posting_lists_small_tables(spark):
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 2, 1.0), (20, 3, 0, 0.0)]
 
 
+@pytest.mark.parametrize(("groups", "most_read"), [(0, 1.0), (60, 0.25)])
+def test_posting_lists_skip_lists_and_keep_recall(groups, most_read):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6000, 32)) if not groups else rng.normal(size=(groups, 32))[rng.integers(0, groups, 6000)] + 0.3 * rng.normal(size=(6000, 32))
+    wide = np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((6000, 1))], axis=1)
+    settings = posting_lists.Settings()
+    count = settings.lists(len(wide))
+    centroids = posting_lists.Centroids(wide[: count * settings.fitted], count, settings)
+    who, lists = centroids.lists(wide, settings)
+    sizes = np.bincount(lists, minlength=len(centroids.points))
+    assert len(who) <= settings.copies * len(wide) and set(who.tolist()) == set(range(len(wide)))
+    queries = np.arange(0, 6000, 60)
+    asked, probed = centroids.probes(wide[queries], settings, sizes, settings.copies * 21)
+    assert np.bincount(asked).max() < len(centroids.points) // 2  # lists are skipped
+    assert sizes[probed].sum() <= most_read * len(queries) * len(wide)
+    near = wide[queries] @ wide.T
+    near[np.arange(len(queries)), queries] = -9
+    best = np.argpartition(-near, 20, axis=1)[:, :20]
+    reads, holds = (np.zeros((n, len(centroids.points)), dtype=bool) for n in (len(queries), len(wide)))
+    reads[asked, probed], holds[who, lists] = True, True
+    found = (reads[:, None, :] & holds[best]).any(axis=2)
+    assert found.mean() >= 0.9
+
+
 # -- media
 
 

@@ -34,23 +34,32 @@ from toponexus.llm import storage
 class Settings:
     """Bounds and thresholds of fit, index and search."""
 
-    #: Vectors that the centroids are fitted on, at most.
-    sample: int = 20_000
-    #: Vectors that a list is meant to hold, and the number of lists at most.
-    list_size: int = 128
-    most_lists: int = 4096
+    #: Vectors that a list is meant to hold, and the number of lists at most; beyond it lists grow with the table.
+    list_size: int = 8
+    most_lists: int = 16_384
+    #: Vectors that a centroid is fitted on, so ``most_lists`` times as many are gathered at most.
+    fitted: int = 4
     #: Copies of a boundary vector at most, and how much farther than the nearest a list may be.
-    copies: int = 8
-    boundary: float = 0.1
-    #: Lists that a query reads at most, and how much farther than the nearest a list may be.
+    copies: int = 4
+    boundary: float = 0.2
+    #: Lists that every query reads, so that a table of few lists is searched exactly; lists that it reads at most, as
+    #: a multiple of the root of their number; and how much farther than the nearest these may be. With as many
+    #: ``probes`` as there are lists the search is exact at any size.
     probes: int = 48
-    ratio: float = 0.25
+    probes_by_root: float = 7.0
+    ratio: float = 0.5
     #: Neighbours of a centroid in the graph, and the candidates that a search keeps.
     degree: int = 24
     beam: int = 64
     #: Vectors, and queries, of a list that one task compares at once.
     block: int = 4096
 
+    def lists(self, rows: int) -> int:
+        return int(min(self.most_lists, max(1, rows // self.list_size)))
+
+    def most_probes(self, lists: int) -> int:
+        return int(min(lists, max(self.probes, round(self.probes_by_root * lists**0.5))))
+
 
 class Centroids:
     """Centroids, and the graph that finds the nearest."""
@@ -58,24 +67,28 @@ class Centroids:
     def __init__(self, sample: np.ndarray, count: int, settings: Settings, seed: int = 11):
         rng = np.random.default_rng(seed)
         leaves = [sample]
-        while len(leaves) < count and max(len(x) for x in leaves) > 1:
+        while 2 * len(leaves) <= count and max(len(x) for x in leaves) > 1:
             leaves = [part for leaf in leaves for part in self._halves(leaf, rng)]
         self.points = np.array([leaf.mean(axis=0) for leaf in leaves])
         self.squares = (self.points**2).sum(axis=1)
         n, degree = len(self.points), min(settings.degree, len(self.points) - 1)
-        apart = self._distances(self.points, np.arange(n))
-        np.fill_diagonal(apart, np.inf)
-        near = np.argsort(apart, axis=1)[:, :degree]
+        near = np.empty((n, degree), dtype=np.int32)
+        for a in range(0, n, 256):
+            apart = self._distances(self.points[a : a + 256], np.arange(n))
+            apart[np.arange(len(apart)), np.arange(a, a + len(apart))] = np.inf
+            near[a : a + 256] = np.argpartition(apart, max(0, degree - 1), axis=1)[:, :degree]
         # some links at random, so that no part of the graph is cut off
-        self.links = np.concatenate([near, rng.integers(0, n, (n, 4))], axis=1)
-        self.entries = np.unique(rng.integers(0, n, 8))
+        links = np.concatenate([near, rng.integers(0, n, (n, 4), dtype=np.int32)], axis=1)
+        #: The last row is that of no centroid, which leads to itself.
+        self.links = np.concatenate([links, np.full((1, links.shape[1]), n, dtype=np.int32)])
+        self.entries = np.unique(rng.integers(0, n, 8, dtype=np.int32))
 
     @staticmethod
     def _halves(leaf: np.ndarray, rng: np.random.Generator) -> list[np.ndarray]:
         if len(leaf) < 2:
             return [leaf]
         ends = leaf[rng.choice(len(leaf), 2, replace=False)].astype(np.float64)
-        for _ in range(8):
+        for _ in range(8 if len(leaf) > 64 else 3):
             side = leaf @ (ends[1] - ends[0])
             second = np.zeros(len(leaf), dtype=bool)
             second[np.argsort(side, kind="stable")[len(leaf) // 2 :]] = True
@@ -90,28 +103,34 @@ class Centroids:
 
     def nearest(self, vectors: np.ndarray, want: int, beam: int) -> tuple[np.ndarray, np.ndarray]:
         """The centroids nearest to each vector, with distances: best-first search over the graph, many vectors at once."""
+        beam = min(max(beam, want), len(self.points))
+        rows = max(16, 1 << 15 // beam)
+        parts = [self._search(vectors[a : a + rows], beam) for a in range(0, max(1, len(vectors)), rows)]
+        want = min(want, beam)
+        return np.concatenate([ids[:, :want] for ids, _ in parts]), np.sqrt(np.concatenate([far[:, :want] for _, far in parts]))
+
+    def _search(self, vectors: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``beam`` nearest centroids and squared distances; an eighth of the beam is followed at a time."""
         n, total = len(vectors), len(self.points)
-        beam = min(max(beam, want), total)
+        step = max(1, beam // 8)
         own = (vectors**2).sum(axis=1)
-        ids = np.full((n, beam), -1)
+        ids = np.full((n, beam), -1, dtype=np.int32)
         far = np.full((n, beam), np.inf)
         opened = np.zeros((n, beam), dtype=bool)
-        seen = np.zeros((n, total), dtype=bool)
+        seen = np.zeros((n, total + 1), dtype=bool)
+        seen[:, total] = True  # stands for no centroid
         fresh = np.broadcast_to(self.entries, (n, len(self.entries)))
         rows = np.arange(n)
         while len(rows):
             at = rows[:, None]
+            fresh = np.sort(fresh, axis=1)
             new = ~seen[at, fresh]
-            # links to one centroid twice count once
-            order = np.sort(fresh, axis=1)
-            if (order[:, 1:] == order[:, :-1]).any():
-                place = np.argsort(fresh, axis=1, kind="stable")
-                again = np.zeros_like(new)
-                np.put_along_axis(again, place[:, 1:], order[:, 1:] == order[:, :-1], axis=1)
-                new &= ~again
+            new[:, 1:] &= fresh[:, 1:] != fresh[:, :-1]  # links to one centroid twice count once
             seen[at, fresh] = True
-            dist = own[rows][:, None] - 2 * np.einsum("nd,nkd->nk", vectors[rows], self.points[fresh]) + self.squares[fresh]
-            dist = np.where(new, np.maximum(dist, 0), np.inf)
+            who, what = np.nonzero(new)
+            found = fresh[who, what]
+            dist = np.full(fresh.shape, np.inf)
+            dist[who, what] = np.maximum(own[rows[who]] - 2 * np.einsum("kd,kd->k", vectors[rows[who]], self.points[found]) + self.squares[found], 0)
             all_far = np.concatenate([far[rows], dist], axis=1)
             best = np.argsort(all_far, axis=1, kind="stable")[:, :beam]
             far[rows] = np.take_along_axis(all_far, best, axis=1)
@@ -119,24 +138,27 @@ class Centroids:
             opened[rows] = np.take_along_axis(np.concatenate([opened[rows], np.zeros_like(new)], axis=1), best, axis=1)
             waiting = ~opened[rows] & np.isfinite(far[rows])
             some = waiting.any(axis=1)
-            rows, first = rows[some], waiting[some].argmax(axis=1)
-            opened[rows, first] = True
-            fresh = self.links[ids[rows, first]]
-        want = min(want, beam)
-        return ids[:, :want], np.sqrt(far[:, :want])
+            rows, waiting = rows[some], waiting[some]
+            waiting &= np.cumsum(waiting, axis=1) <= step
+            opened[rows] |= waiting
+            held = np.sort(np.where(waiting, np.arange(beam), beam), axis=1)[:, :step]
+            chosen = np.where(held < beam, np.take_along_axis(ids[rows], np.minimum(held, beam - 1), axis=1), total)
+            fresh = self.links[chosen].reshape(len(rows), chosen.shape[1] * self.links.shape[1])
+        return ids, far
 
     def lists(self, vectors: np.ndarray, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
         """(vector, list) pairs of the index: the nearest list, and others for boundary vectors."""
-        ids, far = self.nearest(vectors, settings.copies, settings.copies * 4)
+        ids, far = self.nearest(vectors, settings.copies, settings.beam)
         who, nth = np.nonzero((far <= (1 + settings.boundary) * far[:, :1]) & (ids >= 0))
         return who, ids[who, nth]
 
     def probes(self, queries: np.ndarray, settings: Settings, sizes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, list) pairs to search, by the ratio of distances, but lists of ``least`` entries together at least."""
-        ids, far = self.nearest(queries, settings.probes, settings.beam)
+        """(query, list) pairs to search, by the ratio of distances, but ``probes`` lists and lists of ``least`` entries together at least."""
+        ids, far = self.nearest(queries, settings.most_probes(len(self.points)), settings.beam)
         held = np.where(ids >= 0, sizes[ids], 0)
         before = np.cumsum(held, axis=1) - held
-        who, nth = np.nonzero(((far <= (1 + settings.ratio) * far[:, :1]) | (before < least)) & (ids >= 0))
+        always = np.arange(ids.shape[1]) < settings.probes
+        who, nth = np.nonzero(((far <= (1 + settings.ratio) * far[:, :1]) | (before < least) | always) & (ids >= 0))
         return who, ids[who, nth]
 
 
@@ -156,8 +178,8 @@ def _place(centroids: Centroids, settings: Settings, length: float, size: int, l
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a in range(0, batch.num_rows, 2048):
-                part = batch.slice(a, 2048)
+            for a in range(0, batch.num_rows, 1024):
+                part = batch.slice(a, 1024)
                 vectors = _matrix(part.column(1), size)
                 squares = (vectors**2).sum(axis=1)
                 if lists_read:  # a query's length does not change its order of answers
@@ -225,13 +247,14 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
         return spark.createDataFrame([], schema)
     size, length = shape["size"], float(np.sqrt(shape["square"]))
     rows = rows.where(F.col("size") == size).select("id", "v")
+    count = settings.lists(shape["n"])
+    wanted = count * settings.fitted
     # of the least hashes only a few times as many rows as are wanted are ranked, however many there are
-    most = int(-(2**63) + 4 * settings.sample / shape["n"] * (2**64 - 1)) if shape["n"] > 4 * settings.sample else 2**63 - 1
-    fitted = rows.where(F.xxhash64("id") <= most).orderBy(F.xxhash64("id"), "id").limit(settings.sample).select("v").toPandas()["v"]
-    sample = np.array(fitted.tolist(), dtype=np.float64)
+    most = int(-(2**63) + 4 * wanted / shape["n"] * (2**64 - 1)) if shape["n"] > 4 * wanted else 2**63 - 1
+    fitted = rows.where(F.xxhash64("id") <= most).orderBy(F.xxhash64("id"), "id").limit(wanted).select("v").toArrow()
+    sample = _matrix(fitted.column(0).combine_chunks(), size)
     wide = np.concatenate([sample, np.sqrt(np.maximum(length**2 - (sample**2).sum(axis=1), 0))[:, None]], axis=1)
-    count = int(min(settings.most_lists, max(1, shape["n"] // settings.list_size), max(1, len(wide) // 4)))
-    centroids = Centroids(wide, count, settings)
+    centroids = Centroids(wide, max(1, min(count, len(wide) // 2)), settings)
 
     # equal vectors: the least id stands for all, and k + 1 least ids are all that answers can need
     nth = F.row_number().over(W.partitionBy("v").orderBy("id"))
