@@ -57,7 +57,7 @@ def test_posting_lists_small_tables(spark):
     assert got == [(0, 1, 1, 0.5), (0, 2, 2, 0.5), (0, 3, 20, 0.0), (20, 1, 1, 1.0), (20, 2, 2, 1.0), (20, 3, 0, 0.0)]
 
 
-@pytest.mark.parametrize(("groups", "most_read"), [(0, 1.0), (60, 0.25)])
+@pytest.mark.parametrize(("groups", "most_read"), [(0, 1.4), (60, 0.4)])
 def test_posting_lists_skip_lists_and_keep_recall(groups, most_read):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(6000, 32)) if not groups else rng.normal(size=(groups, 32))[rng.integers(0, groups, 6000)] + 0.3 * rng.normal(size=(6000, 32))
