@@ -76,11 +76,11 @@ def test_block_repeats(spark, chunk_bytes):
     assert sum(r.n_removed for r in got) > 100
 
 
-@pytest.mark.parametrize(("chunk_bytes", "length", "gram"), [(500, 100, 50), (1 << 20, 100, 50), (700, 40, 40), (700, 30, 8)])
-def test_suffix_repeats(spark, chunk_bytes, length, gram):
+@pytest.mark.parametrize(("chunk_bytes", "length", "gram", "hot"), [(500, 100, 50, 32), (500, 100, 50, 1), (1 << 20, 100, 50, 0), (700, 40, 40, 2), (700, 30, 8, 1)])
+def test_suffix_repeats(spark, chunk_bytes, length, gram, hot):
     rows = corpus(1)
     want = covered(rows, lambda t: (t or "").encode(), length, lambda a, b: a < b)
-    got = suffix_repeats.remove_repeats(frame(spark, rows), length=length, gram=gram, chunk_bytes=chunk_bytes).collect()
+    got = suffix_repeats.remove_repeats(frame(spark, rows), length=length, gram=gram, chunk_bytes=chunk_bytes, hot=hot).collect()
     assert len(got) == len(rows)
     for r in got:
         data, gone = want[r.doc_id]
@@ -90,6 +90,22 @@ def test_suffix_repeats(spark, chunk_bytes, length, gram):
     assert sum(r.n_removed for r in got) > 100
 
 
+def test_a_hot_passage_is_spread_over_buckets():
+    rng = random.Random(8)
+    passage = "".join(rng.choice("abcdefgh ") for _ in range(60))
+    text = "".join("".join(rng.choice("abcdefgh ") for _ in range(120)) + passage for _ in range(1500)).encode()
+    raw = np.int64(1).tobytes() + np.int64(7).tobytes() + np.int64(len(text)).tobytes() + b"\1" + text
+    chunk = suffix_repeats.C.Chunk(suffix_repeats.C.squeeze(raw))
+    anchors = suffix_repeats.Anchors(chunk, 100, 50)
+    _, gram, met = np.unique(anchors.hashes, return_inverse=True, return_counts=True)
+    inside = np.flatnonzero(met[gram] > 20)
+    assert len(inside) > 100
+    sent, bucket, near, far = suffix_repeats._spread(chunk, anchors, inside, np.ones(len(anchors.at), dtype=bool), 100, 50, 8)
+    assert np.bincount(bucket, minlength=256).max() < 0.05 * len(bucket)
+    windows = [(anchors.at[i], d) for i in inside.tolist() for d in range(anchors.near[i], anchors.far[i] + 1)]
+    assert sorted(windows) == sorted((anchors.at[i], d) for i, a, b in zip(sent.tolist(), near.tolist(), far.tolist(), strict=True) for d in range(a, b + 1))
+
+
 def test_loser_tree_merges_front_coded_runs():
     rng = random.Random(3)
     for _ in range(50):

@@ -102,18 +102,18 @@ def test_tiff_pages(codec, predictor, tile):
     assert [(p.pixels, p.description) for p in found] == [(a.tobytes(), d) for a, d in images]
 
 
-def big_endian(pixels: np.ndarray, planar: int, predictor: int) -> bytes:
-    """A big-endian 16-bit image of several samples, put together by hand."""
+def big_endian(pixels: np.ndarray, planar: int, predictor: int, bits: int = 16) -> bytes:
+    """A big-endian image of several samples, put together by hand."""
     height, width, samples = pixels.shape
     parts = [pixels] if planar == 1 else [pixels[:, :, i : i + 1] for i in range(samples)]
     if predictor == 2:
         parts = [np.diff(p, axis=1, prepend=np.zeros((height, 1, p.shape[2]), dtype=p.dtype)) for p in parts]
-    raws = [zlib.compress(p.astype(">u2").tobytes()) for p in parts]
+    raws = [zlib.compress(np.packbits(p.reshape(height, -1), axis=1).tobytes() if bits == 1 else p.astype(f">u{bits // 8}").tobytes()) for p in parts]
     body, places = bytearray(b"MM\0*\0\0\0\0"), []
     for raw in raws:
         places.append(len(body))
         body += raw + b"\0" * (len(raw) % 2)
-    fields = [(256, 3, [width]), (257, 3, [height]), (258, 3, [16] * samples), (259, 3, [8]), (273, 4, places), (277, 3, [samples]), (279, 4, [len(r) for r in raws]), (284, 3, [planar]), (317, 3, [predictor])]
+    fields = [(256, 3, [width]), (257, 3, [height]), (258, 3, [bits] * samples), (259, 3, [8]), (273, 4, places), (277, 3, [samples]), (279, 4, [len(r) for r in raws]), (284, 3, [planar]), (317, 3, [predictor])]
     entries = b""
     for tag, kind, values in fields:
         raw = struct.pack(f">{len(values)}{'H' if kind == 3 else 'I'}", *values)
@@ -133,6 +133,30 @@ def test_tiff_big_endian_samples(planar, predictor):
     assert page.pixels == pixels.astype("<u2").tobytes() and (page.samples, page.bits) == (3, 16)
 
 
+def test_tiff_bits_and_wide_samples():
+    flags = np.random.default_rng(2).integers(0, 2, (9, 13, 1), dtype=np.uint8)
+    (page,) = tiff.Reader(big_endian(flags, 1, 1, 1)).pages()
+    assert (page.pixels, page.bits) == (flags.tobytes(), 1)
+    wide = np.random.default_rng(3).integers(0, 1 << 32, (4, 5, 2), dtype=np.uint32)
+    (page,) = tiff.Reader(big_endian(wide, 1, 2, 32)).pages()
+    assert page.pixels == wide.astype("<u4").tobytes()
+    with pytest.raises(ValueError, match="no samples"):
+        list(tiff.Reader(big_endian(np.zeros((4, 5, 0), dtype=np.uint16), 1, 1)).pages())
+
+
+def test_tiff_codecs_on_fixed_bytes():
+    """The worked examples of the format's description, which no encoder here has made."""
+    packed = bytes.fromhex("FE AA 02 80 00 2A FD AA 03 80 00 2A 22 F7 AA")
+    plain = bytes.fromhex("AA AA AA 80 00 2A AA AA AA AA 80 00 2A 22 AA AA AA AA AA AA AA AA AA AA")
+    assert tiff.unpack_bits(packed, 100) == plain
+    codes = [256, 7, 258, 8, 8, 258, 6, 6, 257]  # nine bits each
+    bits = "".join(f"{c:09b}" for c in codes)
+    raw = bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+    assert tiff.unpack_lzw(raw, 100) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    bomb = zlib.compress(b"\0" * (1 << 24))
+    assert tiff.decompress(bomb, tiff.DEFLATE, 0) == b"" and len(tiff.decompress(bomb, tiff.DEFLATE, 10)) == 10
+
+
 def test_tiff_operator(spark):
     texts = [(0, None), (1, ""), (2, "abc\0"), (3, "é" * 40000), (4, "abc\0"), (None, "x")]
     docs = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id long, text string, page int")

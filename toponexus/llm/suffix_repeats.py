@@ -5,9 +5,12 @@ strings inside each window of ``length`` bytes, the one whose hash is least (the
 is the window's anchor. Equal windows have equal anchors at equal distances, so only suffixes that
 start at anchors need sorting, about one in ``(length - gram) / 2`` bytes.
 
-1. Sorted runs of anchor hashes are exchanged; anchors whose gram is met once only drop out.
+1. Sorted runs of anchor hashes are exchanged; anchors whose gram is met once only drop out, and
+   grams met in many chunks are told apart as hot ones.
 2. Each chunk sorts the suffixes of the anchors left, front-codes the sorted run (the length of the
-   prefix shared with the suffix before, and the rest) and sends it to the bucket of the gram.
+   prefix shared with the suffix before, and the rest) and sends it to the bucket of the gram. A hot
+   gram has no bucket of its own: its windows go, by their distance to the anchor in ``PARTS`` parts, to
+   the bucket of the string that all windows of a part share, which is longer than the gram.
 3. A bucket merges the runs of all chunks with a loser tree. Every loser keeps the length of the
    prefix that it shares with the winner that beat it; unequal lengths decide a match without
    looking at a byte, and equal ones compare from that length on.
@@ -15,7 +18,9 @@ start at anchors need sorting, about one in ``(length - gram) / 2`` bytes.
    bytes and the texts before them share d bytes. Both are classes of neighbours in a sorted order,
    so each window gets a pair of class numbers, and the least (id, start) of each pair is the first.
 
-Copies inside a chunk are sent once. Memory follows the chunk and bucket sizes, not group sizes.
+Copies inside a chunk are sent once. So a passage that many documents hold in contexts of their own is
+spread over the buckets of these contexts, and one that is longer than what a part shares reaches a
+bucket once for each chunk and context.
 """
 
 from __future__ import annotations
@@ -27,10 +32,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 from toponexus.llm import chunks as C
-from toponexus.llm.hashing import byte_sums, mix, rolling_hashes
+from toponexus.llm.hashing import byte_sums, mix, range_hashes, rolling_hashes
 
 #: Bits of an anchor's hash in the first exchange; a chance meeting only adds suffixes to the sort.
 ANCHOR_BITS = 48
+#: Chunks that hold a gram before it counts as hot, and the parts that the distances of its windows fall into.
+HOT, PARTS = 32, 4
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string"
 
 
@@ -79,12 +86,17 @@ def _anchor_runs(length: int, gram: int, bits: int):
     return kernel
 
 
-def _met_elsewhere(runs: list[bytes]) -> list[bytes]:
-    keys = [C.decode_sorted(*C.unpack_arrays(run)) for run in runs]
-    order, group, _ = C.distinct_sorted(np.concatenate(keys))
-    out = np.zeros(len(order), dtype=bool)
-    out[order] = np.bincount(group)[group] > 1
-    return C.bitmaps(out, [len(x) for x in keys])
+def _met_elsewhere(hot: int):
+    """Two flags a gram: whether more chunks than one hold it, and whether more than ``hot`` do."""
+
+    def reduce(runs: list[bytes]) -> list[bytes]:
+        keys = [C.decode_sorted(*C.unpack_arrays(run)) for run in runs]
+        order, group, _ = C.distinct_sorted(np.concatenate(keys))
+        held = np.empty(len(order), dtype=np.int64)
+        held[order] = np.bincount(group)[group]
+        return C.bitmaps(np.stack([held > 1, held > hot], axis=1).ravel(), [2 * len(x) for x in keys])
+
+    return reduce
 
 
 def shared_prefixes(rows: np.ndarray) -> np.ndarray:
@@ -180,14 +192,35 @@ def merge_runs(runs: list[Run]) -> tuple[list[int], list[int]]:
     return out_runs, out_shared
 
 
+def _spread(chunk: C.Chunk, anchors: Anchors, keep: np.ndarray, hot: np.ndarray, length: int, gram: int, bits: int) -> tuple[np.ndarray, ...]:
+    """What is sent of the anchors ``keep``: anchor, bucket, and least and most distance of the windows that go with it."""
+    calm, busy = keep[~hot[keep]], keep[hot[keep]]
+    found = [(calm, (anchors.hashes[calm] >> np.uint64(64 - bits)).astype(np.int64), anchors.near[calm], anchors.far[calm])]
+    if len(busy):
+        sums = byte_sums(chunk.data)
+        width = -(-(length - gram + 1) // PARTS)
+        for low in range(0, length - gram + 1, width):
+            high = min(low + width - 1, length - gram)
+            some = busy[(anchors.near[busy] <= high) & (anchors.far[busy] >= low)]
+            at = anchors.at[some]
+            # inside every window of a distance from low to high
+            shared = mix(range_hashes(sums, at - low, at + length - high, "bytes") + np.uint64(low))
+            found.append((some, (shared >> np.uint64(64 - bits)).astype(np.int64), np.maximum(anchors.near[some], low), np.minimum(anchors.far[some], high)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def _suffix_runs(length: int, gram: int, bits: int):
     def kernel(chunk: C.Chunk, answers: dict[int, bytes], _side):
         anchors = Anchors(chunk, length, gram)
         order, group, keys = C.distinct_sorted(anchors.hashes >> np.uint64(64 - ANCHOR_BITS))
-        met = C.answer_bits(answers, C.split_sorted(keys, ANCHOR_BITS, bits), len(keys)) | (np.bincount(group, minlength=len(keys)) > 1)
+        pieces = [(bucket, 2 * a, 2 * b) for bucket, a, b in C.split_sorted(keys, ANCHOR_BITS, bits)]
+        flags = C.answer_bits(answers, pieces, 2 * len(keys)).reshape(-1, 2)
+        met = flags[:, 0] | (np.bincount(group, minlength=len(keys)) > 1)
+        hot = np.zeros(len(anchors.at), dtype=bool)
+        hot[order] = flags[group, 1]
         keep = np.sort(order[met[group]])
-        at, near, far, doc = (x[keep] for x in (anchors.at, anchors.near, anchors.far, anchors.doc))
-        bucket = (anchors.hashes[keep] >> np.uint64(64 - bits)).astype(np.int64)
+        keep, bucket, near, far = _spread(chunk, anchors, keep, hot, length, gram, bits)
+        at, doc = anchors.at[keep], anchors.doc[keep]
         text, starts, ends = chunk.data.tobytes(), (at - far).tolist(), (at - near + length).tolist()
         ids, edges = chunk.ids[doc], at - chunk.offsets[doc]
         # copies in this chunk: the first by (id, start) stands for the others
@@ -318,7 +351,7 @@ def _finish(length: int, with_bytes: bool, with_text: bool):
     return kernel
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 50, with_bytes: bool = True, with_text: bool = False, chunk_bytes: int = C.CHUNK_BYTES, carry: list[str] | None = None) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 100, gram: int = 50, with_bytes: bool = True, with_text: bool = False, chunk_bytes: int = C.CHUNK_BYTES, carry: list[str] | None = None, hot: int = HOT) -> DataFrame:
     """Drop each byte covered by a string of ``length`` bytes that also starts earlier.
 
     Earlier is a smaller id, or the same id and an earlier start; strings do not cross documents.
@@ -335,6 +368,6 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError("gram must be at most length, and length - gram at most 63")
     bits = C.bucket_bits(docs.sparkSession)
     packed = C.pack(docs, id_col, text_col, chunk_bytes, carry)
-    met = C.answer(packed.mapInArrow(C.each_chunk(_anchor_runs(length, gram, bits)), C.RUN_SCHEMA), _met_elsewhere)
+    met = C.answer(packed.mapInArrow(C.each_chunk(_anchor_runs(length, gram, bits)), C.RUN_SCHEMA), _met_elsewhere(hot))
     found = C.answer(C.meet_runs(packed, met, _suffix_runs(length, gram, bits)), _covered(length, gram))
     return C.meet(packed, found, _finish(length, with_bytes, with_text), C.row_schema(docs, SCHEMA, carry))

@@ -1,7 +1,8 @@
 """TIFF media columns: read every page of a TIFF value, and write texts as TIFF pages.
 
 The reader walks the chain of image directories in either byte order, reads strips or tiles,
-undoes PackBits, LZW or deflate and then the predictor, and emits one row per page. It needs
+undoes PackBits, LZW or deflate and then the horizontal predictor, and emits one row per page. Samples of
+1, 8, 16 and 32 bits are read; other sizes, the floating-point predictor and other codecs give an error row. It needs
 nothing outside the row, so it runs as a narrow step over any partitioning and holds one page at a
 time.
 """
@@ -24,7 +25,7 @@ from toponexus.llm.storage import small_batches
 
 # Fixed values of the format: tag numbers, field sizes by field type, compression and predictor codes.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, DESCRIPTION, STRIP_OFFSETS = 256, 257, 258, 259, 262, 270, 273
-SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANAR, PREDICTOR = 277, 278, 279, 284, 317
+FILL_ORDER, SAMPLES, ROWS_PER_STRIP, STRIP_SIZES, PLANAR, PREDICTOR = 266, 277, 278, 279, 284, 317
 TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_SIZES = 322, 323, 324, 325
 FIELD_SIZES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8}
 INTEGERS = {1: "B", 3: "H", 4: "I"}
@@ -171,6 +172,8 @@ def compress(data: bytes, compression: int) -> bytes:
 
 def decompress(data: bytes, compression: int, size: int) -> bytes:
     """At most ``size`` bytes, so that a damaged value can't fill the memory."""
+    if size <= 0:
+        return b""
     if compression == NO_COMPRESSION:
         return data[:size]
     if compression == LZW:
@@ -241,13 +244,17 @@ class Reader:
 
         width, height = one(WIDTH), one(HEIGHT)
         samples, bits, compression, predictor, planar = one(SAMPLES, 1), one(BITS, 1), one(COMPRESSION, 1), one(PREDICTOR, 1), one(PLANAR, 1)
-        if bits not in (8, 16) or any(b != bits for b in fields.get(BITS, ())):
+        if bits not in (1, 8, 16, 32) or any(b != bits for b in fields.get(BITS, ())):
             raise ValueError(f"samples of {fields.get(BITS, (1,))} bits are not read")
-        if predictor not in (1, HORIZONTAL):
+        if predictor not in (1, HORIZONTAL) or (bits == 1 and predictor != 1):
             raise ValueError(f"unknown predictor {predictor}")
+        if samples < 1 or not width or not height:
+            raise ValueError("the page has no samples")
+        if one(FILL_ORDER, 1) != 1:
+            raise ValueError("bits are stored backwards")
         if width * height * samples * bits // 8 > 1 << 31:
             raise ValueError("the page is too large")
-        kind = np.dtype("u1") if bits == 8 else np.dtype(self.order + "u2")
+        kind = np.dtype("u1") if bits <= 8 else np.dtype(f"{self.order}u{bits // 8}")
         apart = samples if planar == 1 else 1
         layers = 1 if planar == 1 else samples
         image = np.zeros((layers, height, width, apart), dtype=kind)
@@ -264,15 +271,19 @@ class Reader:
         for k in range(layers * across * down):
             layer, y, x = k // (across * down), k // across % down * high, k % across * wide
             rows = high if tiled else min(high, height - y)
-            want = rows * wide * apart * kind.itemsize
+            row_bytes = -(-wide * apart * bits // 8)
+            want = rows * row_bytes
             raw = decompress(self.data[places[k] : places[k] + sizes[k]], compression, want)
             if len(raw) != want:
                 raise ValueError("a strip or tile is too short")
-            part = np.frombuffer(raw, dtype=kind).reshape(rows, wide, apart)
+            if bits == 1:  # eight samples a byte, each row from a new byte
+                part = np.unpackbits(np.frombuffer(raw, dtype=np.uint8).reshape(rows, row_bytes), axis=1)[:, : wide * apart].reshape(rows, wide, apart)
+            else:
+                part = np.frombuffer(raw, dtype=kind).reshape(rows, wide, apart)
             if predictor == HORIZONTAL:
                 part = np.cumsum(part, axis=1, dtype=kind.newbyteorder("="))
             image[layer, y : y + rows, x : x + wide] = part[: height - y, : width - x]
-        # planes apart are put together, 16-bit samples little-endian
+        # planes apart are put together, bits as a byte each, wider samples little-endian
         pixels = np.ascontiguousarray(image.transpose(1, 2, 0, 3).reshape(height, width, samples)).astype(kind.newbyteorder("<"), copy=False)
         text = fields.get(DESCRIPTION)
         return Page(width, height, samples, bits, compression, predictor, text[0].rstrip(b"\0").decode("utf-8", "replace") if text else None, pixels.tobytes())
