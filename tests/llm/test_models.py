@@ -140,8 +140,11 @@ def test_tiff_bits_and_wide_samples():
     wide = np.random.default_rng(3).integers(0, 1 << 32, (4, 5, 2), dtype=np.uint32)
     (page,) = tiff.Reader(big_endian(wide, 1, 2, 32)).pages()
     assert page.pixels == wide.astype("<u4").tobytes()
+    value = bytearray(big_endian(wide.astype(np.uint16), 1, 1))
+    at = value.index(struct.pack(">HHIH", 277, 3, 1, 2))
+    struct.pack_into(">H", value, at + 8, 0)
     with pytest.raises(ValueError, match="no samples"):
-        list(tiff.Reader(big_endian(np.zeros((4, 5, 0), dtype=np.uint16), 1, 1)).pages())
+        list(tiff.Reader(bytes(value)).pages())
 
 
 def test_tiff_codecs_on_fixed_bytes():
