@@ -11,8 +11,9 @@ queries read few and hard ones many.
 
 The largest inner product is searched as the least distance after one more coordinate is added to
 the vectors, which gives all of them the same length. Equal vectors are indexed once, with as many
-of their least ids as an answer can need. Lists, and the queries to a list, are cut into blocks, so
-a task's work has a bound whatever a list's size.
+of their least ids as an answer can need. Neighbouring lists form groups, and a vector or query goes to a group
+once, with the lists that it is in or reads there. Groups, and the queries to a group, are cut into
+blocks, so a task's work has a bound whatever a list's size.
 """
 
 from __future__ import annotations
@@ -51,7 +52,9 @@ class Settings:
     #: Neighbours of a centroid in the graph, and the candidates that a search keeps.
     degree: int = 24
     beam: int = 64
-    #: Vectors, and queries, of a list that one task compares at once.
+    #: Lists next to one another in the bisection that are kept together: a query is sent once to all of them.
+    together: int = 64
+    #: Vectors, and queries, of such a group of lists that one task compares at once.
     block: int = 4096
 
     def lists(self, rows: int) -> int:
@@ -174,7 +177,10 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _place(centroids: Centroids, settings: Settings, length: float, size: int, lists_read: tuple[np.ndarray, int] | None = None):
-    """Rows (list, id, v) for vectors (id, v), or for queries, given the sizes of lists and the entries to read at least; v as little-endian doubles."""
+    """Rows (part, id, v, lists) for vectors (id, v), or for queries, given the sizes of lists and the entries to read at least.
+
+    A row for each group of lists that a vector is in, or a query reads, with those lists; v as little-endian doubles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -188,8 +194,22 @@ def _place(centroids: Centroids, settings: Settings, length: float, size: int, l
                 else:
                     wide = np.concatenate([vectors, np.sqrt(np.maximum(length**2 - squares, 0))[:, None]], axis=1)
                     who, lists = centroids.lists(wide, settings)
+                order = np.lexsort((lists, who))
+                who, lists = who[order], lists[order].astype(np.int32)
+                groups = lists // settings.together
+                new = np.ones(len(who), dtype=bool)
+                new[1:] = (who[1:] != who[:-1]) | (groups[1:] != groups[:-1])
+                first = np.flatnonzero(new)
                 raw = [x.tobytes() for x in vectors]
-                yield pa.RecordBatch.from_arrays([pa.array(lists, pa.int32()), part.column(0).take(pa.array(who)), pa.array([raw[i] for i in who.tolist()], pa.binary())], ["list", "id", "v"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(groups[first], pa.int32()),
+                        part.column(0).take(pa.array(who[first])),
+                        pa.array([raw[i] for i in who[first].tolist()], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.append(first, len(who)).astype(np.int32)), pa.array(lists)),
+                    ],
+                    ["part", "id", "v", "lists"],
+                )
 
     return run
 
@@ -202,21 +222,32 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
+def _members(frame: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(list, row) for the lists of each row."""
+    sizes = frame["lists"].map(len).to_numpy()
+    return np.concatenate(frame["lists"].to_list()), np.repeat(np.arange(len(frame)), sizes)
+
+
 def _best(size: int, keep: int):
-    """The ``keep`` best vectors of a block for each query of a block."""
+    """The ``keep`` best vectors of a block for each query of a block, list by list."""
 
     def run(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(queries) and len(vectors):
             q, x = (np.frombuffer(b"".join(frame["v"]), dtype="<f8").reshape(-1, size) for frame in (queries, vectors))
             ids, owners = vectors["id"].to_numpy(), queries["id"].to_numpy()
+            (asked, asker), (held, holder) = _members(queries), _members(vectors)
             for a in range(0, len(q), 512):
-                near = q[a : a + 512] @ x.T
+                near = np.full((len(q[a : a + 512]), len(x)), -np.inf)
+                some = (asker >= a) & (asker < a + 512)
+                for number in np.unique(asked[some]).tolist():
+                    rows, columns = asker[some & (asked == number)], holder[held == number]
+                    near[np.ix_(rows - a, columns)] = q[rows] @ x[columns].T
+                read = np.isfinite(near)
                 if near.shape[1] > keep:  # what rounding could put among the best is summed again
                     least = np.partition(near, -keep, axis=1)[:, -keep]
-                    who, what = np.nonzero(near >= (least - 1e-9 * np.abs(near).max(axis=1))[:, None])
-                else:
-                    who, what = (i.ravel() for i in np.indices(near.shape))
+                    read &= near >= (least - 1e-9 * np.abs(np.where(read, near, 0)).max(axis=1))[:, None]
+                who, what = np.nonzero(read)
                 score = products(q[a + who], x[what])
                 order = np.lexsort((ids[what], -score, who))
                 who, what, score = who[order], what[order], score[order]
@@ -263,25 +294,26 @@ def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str
     distinct = few.where("nth = 1").select("id", "v")
     asked = rows.where(is_query).select(F.col("id").alias("query_id"), "v").distinct().join(distinct.withColumnRenamed("id", "stands"), "v").select("query_id", "stands")
     asked = storage.table(asked)
-    placed = "list int, id long, v binary"
+    placed = "part int, id long, v binary, lists array<int>"
     posted = storage.table(distinct.mapInArrow(_place(centroids, settings, length, size), placed))
     sizes = np.zeros(len(centroids.points), dtype=np.int64)
-    for row in posted.groupBy("list").count().collect():  # a row per list, and the number of lists has a bound
+    for row in posted.select(F.explode("lists").alias("list")).groupBy("list").count().collect():  # a row per list, and the number of lists has a bound
         sizes[row["list"]] = row["count"]
     # a vector is in ``copies`` lists at most, so that many entries hold k others than the query
     least = settings.copies * (k + 1)
     askers = distinct.join(asked.select(F.col("stands").alias("id")).distinct(), "id", "left_semi")
     probing = storage.table(askers.mapInArrow(_place(centroids, settings, length, size, (sizes, least)), placed))
 
-    # blocks of lists and of their queries; both counts have a row per list, and the number of lists a bound
+    # blocks of groups of lists and of their queries; both counts have a row per group, and the number of lists a bound
     def blocks(frame: DataFrame, name: str) -> DataFrame:
-        return frame.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias(name))
-
-    cut = F.broadcast(blocks(posted, "vs").join(blocks(probing, "qs"), "list"))
-    left = probing.join(cut, "list").withColumn("qb", F.pmod(F.xxhash64("id"), "qs").cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)))
-    right = posted.join(cut, "list").withColumn("vb", F.pmod(F.xxhash64("id"), "vs").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
-    key = ["list", "qb", "vb"]
-    found = left.select(*key, "id", "v").groupBy(*key).cogroup(right.select(*key, "id", "v").groupBy(*key)).applyInPandas(_best(size, k + 1), "query long, id long, score double")
+        return frame.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / settings.block).cast("int").alias(name))
+
+    cut = F.broadcast(blocks(posted, "vs").join(blocks(probing, "qs"), "part"))
+    left = probing.join(cut, "part").withColumn("qb", F.pmod(F.xxhash64("id"), "qs").cast("int")).withColumn("vb", F.explode(F.sequence(F.lit(0), F.col("vs") - 1)))
+    right = posted.join(cut, "part").withColumn("vb", F.pmod(F.xxhash64("id"), "vs").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qs") - 1)))
+    key = ["part", "qb", "vb"]
+    columns = [*key, "id", "v", "lists"]
+    found = left.select(columns).groupBy(*key).cogroup(right.select(columns).groupBy(*key)).applyInPandas(_best(size, k + 1), "query long, id long, score double")
 
     ranked = W.partitionBy("query").orderBy(F.desc("score"), "id")
     best = found.distinct().withColumn("nth", F.row_number().over(ranked)).where(F.col("nth") <= k + 1).select("query", "score", F.col("id").alias("stands"))
