@@ -53,9 +53,9 @@ class Settings:
     degree: int = 24
     beam: int = 64
     #: Lists next to one another in the bisection that are kept together: a query is sent once to all of them.
-    together: int = 64
+    together: int = 256
     #: Vectors, and queries, of such a group of lists that one task compares at once.
-    block: int = 4096
+    block: int = 16_384
 
     def lists(self, rows: int) -> int:
         return int(min(self.most_lists, max(1, rows // self.list_size)))
@@ -237,9 +237,9 @@ def _best(size: int, keep: int):
             q, x = (np.frombuffer(b"".join(frame["v"]), dtype="<f8").reshape(-1, size) for frame in (queries, vectors))
             ids, owners = vectors["id"].to_numpy(), queries["id"].to_numpy()
             (asked, asker), (held, holder) = _members(queries), _members(vectors)
-            for a in range(0, len(q), 512):
-                near = np.full((len(q[a : a + 512]), len(x)), -np.inf)
-                some = (asker >= a) & (asker < a + 512)
+            for a in range(0, len(q), 256):
+                near = np.full((len(q[a : a + 256]), len(x)), -np.inf)
+                some = (asker >= a) & (asker < a + 256)
                 for number in np.unique(asked[some]).tolist():
                     rows, columns = asker[some & (asked == number)], holder[held == number]
                     near[np.ix_(rows - a, columns)] = q[rows] @ x[columns].T
