@@ -123,7 +123,7 @@ def match(english: DataFrame, arabic: DataFrame, districts: DataFrame, cache: Da
         best = reported.join(taken.select("eng_id", "cand", F.lit(True).alias("ok")), ["eng_id", "cand"], "left")
     else:
         pruned = assignment.prune(slim, options.top_k)
-        taken = assignment.assign(pruned, options.threshold, options.square)
+        taken = assignment.assign(pruned, options.threshold, options.square, rows=rows)
         own = relational.top_k(slim, "eng_id", "score", "cand_ord", 1)
         others = own.join(taken.select("eng_id"), "eng_id", "left_anti")
         best = taken.select("eng_id", "cand", "score", F.lit(True).alias("ok")).unionByName(others.select("eng_id", "cand", "score", F.lit(False).alias("ok")))
@@ -141,6 +141,9 @@ def match(english: DataFrame, arabic: DataFrame, districts: DataFrame, cache: Da
         *head, F.col("best").alias("Best Arabic Match"), F.col("best_score").alias("Match Score"), *(f"Cand{i}{end}" for i in (1, 2, 3) for end in ("", "_Lat", "_Score"))
     )
     metrics = assignment.sizes(pruned, rows, options.square)
-    new_arabic = relational.fill_blank(arabic, accepted_rows.select(F.col("best").alias("name"), F.col("eng_name").alias("__v"), F.col("eng_id").alias("__o")), "name", "counterpart", "__v", "__o")
-    new_english = relational.fill_blank(english, accepted_rows.select(F.col("eng_id").alias("row_id"), F.col("best").alias("__v"), F.col("eng_id").alias("__o")), "row_id", "counterpart", "__v", "__o")
+    # names are written back row by row, by the optimal matcher district by district as they are first met
+    met = rows.groupBy("group").agg(F.min("eng_id").alias("met"))
+    accepted_rows = accepted_rows.join(met, "group").withColumn("__o", F.struct(F.lit(0).cast("long") if options.method == "sequential" else F.col("met"), "eng_id"))
+    new_arabic = relational.fill_blank(arabic, accepted_rows.select(F.col("best").alias("name"), F.col("eng_name").alias("__v"), "__o"), "name", "counterpart", "__v", "__o")
+    new_english = relational.fill_blank(english, accepted_rows.select(F.col("eng_id").alias("row_id"), F.col("best").alias("__v"), "__o"), "row_id", "counterpart", "__v", "__o")
     return Result(results, accepted, review, metrics, unmapped.select("row_id", "name", "district_en"), new_arabic, new_english)

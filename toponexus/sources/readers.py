@@ -29,8 +29,10 @@ def lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def pairs(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (key, value) of a two-column file without header; the last value of a repeated key wins."""
-    rows = spark.read.schema(schemas.PAIRS).csv(path).withColumn("ord", F.monotonically_increasing_id())
+    """Rows (key, value) of a two-column file without header; the last value of a repeated key wins, files in the order of their names."""
+    # places in a file hold within a part of it, and parts are ordered by file name and offset
+    order = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id())
+    rows = spark.read.schema(schemas.PAIRS).csv(path).select("*", order.alias("ord"))
     return rows.where(F.col("key").isNotNull()).groupBy("key").agg(F.max_by(F.coalesce("value", F.lit("")), "ord").alias("value"))
 
 

@@ -39,7 +39,7 @@ def _letters(column: int) -> str:
 
 
 def sheet_rows(data: bytes, sheet: int) -> Iterator[list[str | None]]:
-    """The cells of a sheet as text, row by row, blank rows left out."""
+    """The cells of a sheet as text, row by row; a blank row is an empty list, so that places hold."""
     with zipfile.ZipFile(io.BytesIO(data)) as book:
         names = set(book.namelist())
         shared = []
@@ -50,6 +50,7 @@ def sheet_rows(data: bytes, sheet: int) -> Iterator[list[str | None]]:
         sheets = [s.get(f"{LINK}id") for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{MAIN}sheet")]
         target = links[sheets[sheet]].lstrip("/")
         with book.open(target if target.startswith("xl/") else f"xl/{target}") as body:
+            given = 0
             for _, row in ElementTree.iterparse(body):
                 if row.tag != f"{MAIN}row":
                     continue
@@ -60,9 +61,12 @@ def sheet_rows(data: bytes, sheet: int) -> Iterator[list[str | None]]:
                     text = "".join(t.text or "" for t in cell.iter(f"{MAIN}t")) if kind == "inlineStr" else value.text if value is not None else None
                     if text is not None:
                         cells[_column(cell.get("r")) if cell.get("r") else i] = shared[int(text)] if kind == "s" else text
+                number = int(row.get("r") or given + 1)
                 row.clear()
-                if cells:
+                if cells:  # rows that are blank or not there at all come before the next one that is not
+                    yield from ([] for _ in range(number - given - 1))
                     yield [cells.get(i) for i in range(max(cells) + 1)]
+                    given = number
 
 
 class _Reader(DataSourceReader):
