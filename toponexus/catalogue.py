@@ -450,7 +450,7 @@ def array_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH RECURSIVE pairs AS (SELECT n_nationkey AS id, p_name AS name, lower(n_name) AS a FROM nation, (SELECT DISTINCT p_name FROM part WHERE p_size <= 3)),
+    """WITH RECURSIVE pairs AS (SELECT n_nationkey AS id, p_name AS name, lower(n_name) AS a FROM nation, (SELECT DISTINCT p_name FROM part)),
         lcs AS (
             SELECT id, name, a, 0 AS i, [0 FOR z IN range(0, length(name))] AS prev FROM pairs
             UNION ALL
@@ -460,7 +460,7 @@ def array_literal(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT id, name, round(200.0 * prev[length(name)] / (length(a) + length(name)), 6)::DOUBLE AS score FROM lcs WHERE i = length(a)"""
 )
 def indel_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = table(spark, sf_dir, "part").where("p_size <= 3").select(F.col("p_name").alias("name")).distinct()
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("name")).distinct()
     keys = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("id"), F.lower("n_name").alias("a"))
     # a list of some dozens of nations against some dozens of names
     pairs = keys.join(names, F.lit(True))
@@ -487,7 +487,16 @@ def _edges(spark: SparkSession, sf_dir: str, k: int | None = 5) -> DataFrame:
     return edges if k is None else assignment.prune(edges, k)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {RANKED},
+        edges AS (SELECT *, block || ':' || cand AS name, row_number() OVER (ORDER BY score DESC, eng_id, cand_id) AS i FROM ranked WHERE rn <= 5 AND score >= 60),
+        run AS (
+            SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS rows, CAST([] AS VARCHAR[]) AS names, false AS ok
+            UNION ALL
+            SELECT i, CASE WHEN free THEN list_append(rows, eng_id) ELSE rows END, CASE WHEN free THEN list_append(names, name) ELSE names END, free FROM (
+                SELECT e.i, rows, names, eng_id, name, NOT list_contains(rows, eng_id) AND NOT list_contains(names, name) AS free FROM run r JOIN edges e ON e.i = r.i + 1))
+    SELECT eng_id, eng_id AS eng_ord, CAST(block AS VARCHAR) AS "group", cand, cand_id AS cand_ord, score FROM edges JOIN run USING (i) WHERE ok"""
+)
 def greedy_one_to_one(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment.greedy(_edges(spark, sf_dir), 60.0)
 
@@ -497,7 +506,17 @@ def optimal_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment.assign(_edges(spark, sf_dir), 60.0)
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {SCORED},
+        wishes AS (SELECT eng_id, block, row_number() OVER (ORDER BY eng_id) AS i, list({{'cand': cand, 'cand_ord': cand_id, 'score': score}} ORDER BY score DESC, cand_id) AS l
+            FROM scored WHERE score >= 60 GROUP BY eng_id, block),
+        run AS (
+            SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS taken, l[1] AS x FROM wishes WHERE i = 1
+            UNION ALL
+            SELECT i, CASE WHEN x IS NULL THEN taken ELSE list_append(taken, x.cand) END, x FROM (
+                SELECT w.i, taken, [e FOR e IN l IF NOT list_contains(taken, e.cand)][1] AS x FROM run r JOIN wishes w ON w.i = r.i + 1))
+    SELECT eng_id, eng_id AS eng_ord, CAST(block AS VARCHAR) AS "group", x.cand AS cand, x.cand_ord AS cand_ord, x.score AS score FROM wishes JOIN run USING (i) WHERE i > 0 AND x IS NOT NULL"""
+)
 def sequential_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assignment.in_order(_edges(spark, sf_dir, None), 60.0)
 
@@ -581,6 +600,34 @@ def partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select("id", F.round(similarity.similarity("partial_ratio", F.col("a"), F.col("b")), 6).alias("score"))
 
 
+def _nations_and_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every nation (a) with every distinct part name (b). The nations are a list of fixed size, so the product grows with the names only."""
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("b")).distinct()
+    nations = table(spark, sf_dir, "nation").select(F.lower("n_name").alias("a"))
+    return names.join(nations, F.lit(True))
+
+
+@query()
+def partial_ratio_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _nations_and_parts(spark, sf_dir).select("a", "b", F.round(similarity.similarity("partial_ratio", F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query()
+def token_set_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = table(spark, sf_dir, "part").select(F.col("p_name").alias("a")).distinct()
+    # part names come from a word list of fixed size
+    pairs = names.join(names.select(F.col("a").alias("b")), F.lit(True))
+    return pairs.select("a", "b", F.round(similarity.similarity("token_set_ratio", F.col("a"), F.col("b")), 6).alias("score"))
+
+
+@query()
+def latin_fallback_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The matchers' score where no word is in the cache, without and with the score of single words."""
+    pairs = _nations_and_parts(spark, sf_dir).withColumn("bare", text.drop_latin_article(F.col("a"))).withColumn("none", F.array().cast("array<string>"))
+    score = {name: similarity.scored(F.col("a"), F.col("bare"), F.col("none"), F.col("b"), F.lit(by_word)) for name, by_word in (("whole", False), ("by_word", True))}
+    return pairs.select("a", "bare", "b", *(F.round(kernel["score"], 6).alias(name) for name, kernel in score.items()))
+
+
 @query("SELECT id, best, CAST(100 AS DOUBLE) AS score FROM (VALUES (0, 'بيت مري'), (1, 'البيرة'), (2, 'وادي خالد')) AS t(id, best)")
 def script_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases against names in Arabic script, with and without article and locality words."""

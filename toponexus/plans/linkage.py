@@ -99,9 +99,10 @@ def match(english: DataFrame, arabic: DataFrame, districts: DataFrame, cache: Da
 
     Every open row of a translated district gets a result row, with a blank match and score 0 where
     it has no candidate; rows of other districts come back as ``unmapped``. Review rows show the
-    row's own three best candidates.
+    row's own three best candidates. A side without the counterpart column gets an empty one.
     """
     options = options or Options()
+    english, arabic = (side if "counterpart" in side.columns else side.withColumn("counterpart", F.lit(None).cast("string")) for side in (english, arabic))
     ship(english.sparkSession)
     queue = relational.work_queue(english, "counterpart").select("row_id", "name", "district")
     if options.district == "FIRST":

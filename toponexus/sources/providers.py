@@ -6,6 +6,8 @@ the default. Answers are kept, empty ones as well, so a key is asked for once.
 
 from __future__ import annotations
 
+import queue
+import threading
 import time
 from collections.abc import Callable, Iterator
 
@@ -17,6 +19,8 @@ from toponexus.deploy import ship
 
 #: Tries after the first, seconds before the first of them (doubled each time), partitions that ask at once.
 RETRIES, BACKOFF, WORKERS = 3, 0.3, 8
+#: Seconds a call may take.
+TIMEOUT = 6.0
 
 Fetch = Callable[[str], list[str]]
 
@@ -25,8 +29,34 @@ class RetryableError(Exception):
     """What a fetch raises for a passing fault."""
 
 
-def with_retries(fetch: Fetch, retries: int = RETRIES, backoff: float = BACKOFF) -> Fetch:
-    """``fetch`` tried again after passing faults; any failure in the end is an empty answer."""
+def _within(fetch: Fetch, seconds: float) -> Fetch:
+    """``fetch`` given up after some seconds. Its thread is left to end by itself and doesn't keep the worker alive."""
+
+    def run(key: str) -> list[str]:
+        done: queue.SimpleQueue = queue.SimpleQueue()
+
+        def call() -> None:
+            try:
+                done.put((fetch(key), None))
+            except BaseException as error:  # noqa: BLE001  raised again by the caller
+                done.put((None, error))
+
+        threading.Thread(target=call, daemon=True).start()
+        try:
+            answer, error = done.get(timeout=seconds)
+        except queue.Empty:
+            raise TimeoutError(key) from None
+        if error is not None:
+            raise error
+        return answer
+
+    return run
+
+
+def with_retries(fetch: Fetch, retries: int = RETRIES, backoff: float = BACKOFF, timeout: float | None = TIMEOUT) -> Fetch:
+    """``fetch`` tried again after passing faults; any failure in the end, a call that takes too long too, is an empty answer."""
+    if timeout is not None:
+        fetch = _within(fetch, timeout)
 
     def run(key: str) -> list[str]:
         for attempt in range(retries + 1):
@@ -46,10 +76,10 @@ def from_mapping(table: dict[str, list[str]]) -> Fetch:
     return lambda key: table.get(key, [])
 
 
-def ask(keys: DataFrame, key: str, fetch: Fetch, workers: int = WORKERS) -> DataFrame:
+def ask(keys: DataFrame, key: str, fetch: Fetch, workers: int = WORKERS, timeout: float | None = TIMEOUT) -> DataFrame:
     """Rows (key, cands) for distinct keys, asked from ``workers`` partitions at once."""
     ship(keys.sparkSession)
-    answer = with_retries(fetch)
+    answer = with_retries(fetch, timeout=timeout)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
