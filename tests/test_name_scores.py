@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import time
 from functools import lru_cache
 
@@ -87,3 +88,25 @@ def test_a_fetch_that_hangs_is_a_miss():
     began = time.monotonic()
     assert fetch("slow") == [] and fetch("fast") == ["fast"]
     assert time.monotonic() - began < 10 and asked == ["slow", "fast"]
+
+
+def test_partial_ratios_together():
+    rng = random.Random(5)
+    sizes = [0, 1, 2, 5, 18, 40, 63, 64, 65, 80]
+
+    def text():
+        return "".join(rng.choice(rng.choice(["ab", "abcd\0", "اىبت"])) for _ in range(rng.choice(sizes)))
+
+    pairs = [(text(), text()) for _ in range(1500)]
+    assert similarity.partial_ratios(pairs) == [similarity.partial_ratio(a, b) for a, b in pairs]
+    assert similarity.partial_ratios([]) == []
+
+
+def test_rows_scored_together():
+    names = ["khald", "wady", "wady khald", "", "beit mery"]
+    arabic = ["وادي خالد", "خالد", "", "بيت مري"]
+    rows = [(name, name, phrases, other, by_word) for name in names for phrases in ([], ["خالد"], ["khald"]) for other in arabic for by_word in (True, False)]
+    assert similarity.pair_scores(rows) == [similarity.pair_score(*row) for row in rows]
+    for (name, bare, phrases, other, by_word), (_, score) in zip(rows, similarity.pair_scores(rows), strict=True):
+        if similarity.phrase_score(phrases, other)[1] <= 0:
+            assert score == similarity.latin_score(name, bare, other, by_word, not phrases)

@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,74 @@ def partial_ratio(a: str, b: str, floor: float = 0.0) -> float:
     return _partial(*sorted((a, b), key=len), floor)
 
 
+#: Texts of at most this many signs have a bit for each place in one machine word.
+PLACES = 64
+#: Pairs taken through the steps at a time.
+_TOGETHER = 1 << 13
+
+
+def _signs(texts: list[str]) -> np.ndarray:
+    """The signs of each text in a row of ``PLACES``, filled up with zeros."""
+    return np.array(texts, dtype=f"<U{PLACES}").view(np.uint32).reshape(len(texts), PLACES)
+
+
+def _many_beginnings(a: np.ndarray, sizes: np.ndarray, b: np.ndarray, steps: int) -> np.ndarray:
+    """``_beginnings`` for each row of sign matrices: common lengths with the first 1, 2, ... ``steps`` signs of ``b``."""
+    width = int(sizes.max())
+    bits = np.uint64(1) << np.arange(width, dtype=np.uint64)
+    full = np.uint64((1 << 64) - 1) >> (PLACES - sizes).astype(np.uint64)
+    row = full.copy()
+    out = np.empty((len(a), steps), dtype=np.int64)
+    for j in range(steps):
+        hit = ((a[:, :width] == b[:, j, None]) * bits).sum(axis=1, dtype=np.uint64) & row
+        row = (row + hit | row - hit) & full
+        out[:, j] = sizes - np.bitwise_count(row)
+    return out
+
+
+def _many_partial(shorts: list[str], longs: list[str]) -> np.ndarray:
+    """``_partial`` with no floor for many pairs of texts of 1 to ``PLACES`` signs."""
+    n, m = (np.array([len(x) for x in side]) for side in (shorts, longs))
+    a, b = _signs(shorts), _signs(longs)
+    most = int(m.max())
+    common = _many_beginnings(a, n, b, most)
+    whole = common[np.arange(len(n)), m - 1]
+    steps = int(n.max())
+    k = np.arange(1, steps + 1)
+    inside = k <= n[:, None]
+    best = np.zeros(len(n))
+    for part in (common[:, :steps], _many_beginnings(_signs([x[::-1] for x in shorts]), n, _signs([x[::-1] for x in longs]), steps)):
+        best = np.maximum(best, np.where(inside, 200.0 * part / (n[:, None] + k), 0.0).max(axis=1))
+    # windows in the middle share no more than the whole does
+    starts = np.where((m > n + 1) & (100.0 * whole / n > best), m - n - 1, 0)
+    row = np.repeat(np.arange(len(n)), starts)
+    start = np.arange(len(row)) - np.repeat(np.cumsum(starts) - starts, starts) + 1
+    for at in range(0, len(row), _TOGETHER):
+        r, s = row[at : at + _TOGETHER], start[at : at + _TOGETHER]
+        steps = int(n[r].max())
+        window = np.take_along_axis(b[r], np.minimum(s[:, None] + np.arange(steps), PLACES - 1), axis=1)
+        shared = _many_beginnings(a[r], n[r], window, steps)[np.arange(len(r)), n[r] - 1]
+        np.maximum.at(best, r, 200.0 * shared / (2 * n[r]))
+    return best
+
+
+def partial_ratios(pairs: list[tuple[str, str]]) -> list[float]:
+    """``partial_ratio`` of many pairs: those of short texts take each step together, the others one by one."""
+    out = np.zeros(len(pairs))
+    asked: list[tuple[int, str, str]] = []
+    for i, (a, b) in enumerate(pairs):
+        if not 0 < min(len(a), len(b)) <= max(len(a), len(b)) <= PLACES:
+            out[i] = partial_ratio(a, b)
+            continue
+        asked.append((i, a, b) if len(a) <= len(b) else (i, b, a))
+        if len(a) == len(b):
+            asked.append((i, b, a))
+    for at in range(0, len(asked), _TOGETHER):
+        places, shorts, longs = zip(*asked[at : at + _TOGETHER], strict=True)
+        np.maximum.at(out, np.array(places), _many_partial(list(shorts), list(longs)))
+    return out.tolist()
+
+
 _SPLIT = re.compile(r"[\s\-–—]+").split
 _ARTICLE = re.compile(rf"^\s*{ARABIC_ARTICLE}[\s\-_:]*")
 _has_arabic = re.compile(ARABIC_RANGES).search
@@ -119,14 +188,14 @@ def _latin_words(text: str) -> tuple[str, ...]:
     return tuple(x for x in (latin(without_localities(w) or w).lower() for w in words) if x)
 
 
-def word_score(english: str, arabic: str) -> float:
+def word_score(english: str, arabic: str, partial: Callable[[str, str, float], float] = partial_ratio) -> float:
     """The best score of the English name against any one word of the Arabic name in Latin letters."""
     best = 0.0
     for word in _latin_words(arabic):
         if word == english:
             return 100.0
         best = max(best, token_set_ratio(english, word))
-        best = partial_ratio(english, word, best)
+        best = partial(english, word, best)
     return best
 
 
@@ -146,7 +215,7 @@ def script_score(a: str, b: str) -> float:
     return best
 
 
-def latin_score(english: str, english_bare: str, arabic: str, by_word: bool, bare_forms: bool) -> float:
+def latin_score(english: str, english_bare: str, arabic: str, by_word: bool, bare_forms: bool, partial: Callable[[str, str, float], float] = partial_ratio) -> float:
     """An English name against an Arabic one in Latin letters; ``bare_forms`` also tries both without articles."""
     tries = [(english, latin(arabic).lower())]
     stripped = without_localities(arabic)
@@ -158,22 +227,44 @@ def latin_score(english: str, english_bare: str, arabic: str, by_word: bool, bar
         if english_bare and english_bare != english:
             tries += [(english_bare, tries[0][1]), (english_bare, bare)]
     best = max(token_set_ratio(a, b) for a, b in dict.fromkeys(tries))
-    return max(best, word_score(english, arabic)) if by_word else best
+    return max(best, word_score(english, arabic, partial)) if by_word else best
 
 
-def pair_score(english: str, english_bare: str, phrases: list[str], arabic: str, by_word: bool) -> tuple[str, float]:
-    """The best phrase for an Arabic name and its score; the first of equal ones, and the Latin path where none scores."""
+def phrase_score(phrases: list[str], arabic: str) -> tuple[str, float]:
+    """The best phrase in Arabic script for an Arabic name and its score; the first of equal ones."""
     via, best = "", 0.0
     for phrase in phrases:
         if _has_arabic(phrase):
             score = script_score(arabic, phrase.strip())
             if score > best:
                 via, best = phrase.strip(), score
-    if best > 0:
-        return via, best
-    if phrases:
-        return "", latin_score(english, english_bare, arabic, by_word, False)
-    return latin(arabic), latin_score(english, english_bare, arabic, by_word, True)
+    return via, best
+
+
+def pair_scores(rows: list[tuple[str, str, list[str], str, bool]]) -> list[tuple[str, float]]:
+    """The best phrase and score of each (English name, without article, phrases, Arabic name, by word).
+
+    Where no phrase scores, names meet in Latin letters; the ratios of single words are worked out
+    together for all rows.
+    """
+    found = [phrase_score(phrases, arabic) for _, _, phrases, arabic, _ in rows]
+    asked = {(r[0], word): 0.0 for r, (_, best) in zip(rows, found, strict=True) if r[4] and best <= 0 for word in _latin_words(r[3])}
+    asked = dict(zip(asked, partial_ratios(list(asked)), strict=True))
+
+    def partial(a: str, b: str, floor: float) -> float:
+        return max(floor, asked[a, b])
+
+    out = []
+    for (english, bare, phrases, arabic, by_word), (via, best) in zip(rows, found, strict=True):
+        if best <= 0:
+            via, best = "" if phrases else latin(arabic), latin_score(english, bare, arabic, by_word, not phrases, partial)
+        out.append((via, best))
+    return out
+
+
+def pair_score(english: str, english_bare: str, phrases: list[str], arabic: str, by_word: bool) -> tuple[str, float]:
+    """``pair_scores`` of one row."""
+    return pair_scores([(english, english_bare, phrases, arabic, by_word)])[0]
 
 
 def _series(kernel: Callable[[str, str], float]):
@@ -203,5 +294,5 @@ def register(spark: SparkSession) -> None:
 
 @F.pandas_udf(T.StructType([T.StructField("via", T.StringType()), T.StructField("score", T.DoubleType())]))
 def scored(english: pd.Series, english_bare: pd.Series, phrases: pd.Series, arabic: pd.Series, by_word: pd.Series) -> pd.DataFrame:
-    rows = [pair_score(e, b, [] if p is None else list(p), a, bool(w)) for e, b, p, a, w in zip(english, english_bare, phrases, arabic, by_word, strict=True)]
-    return pd.DataFrame(rows, columns=["via", "score"])
+    rows = [(e, b, [] if p is None else list(p), a, bool(w)) for e, b, p, a, w in zip(english, english_bare, phrases, arabic, by_word, strict=True)]
+    return pd.DataFrame(pair_scores(rows), columns=["via", "score"])

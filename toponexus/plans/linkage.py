@@ -17,6 +17,10 @@ from toponexus.functions.similarity import scored
 from toponexus.operators import assignment, phrases, relational
 
 
+#: Rows of a district, about, that go to one task together; its candidates are sent once for each such block.
+BLOCK_ROWS = 16
+
+
 @dataclass
 class Options:
     """How the two matchers differ.
@@ -86,10 +90,14 @@ def score_pairs(names: DataFrame, candidates: DataFrame, options: Options) -> Da
     stripped = text.strip(F.col("name"))
     left = names.select("row_id", "name", F.col("district").alias("district_en"), "phrases", text.name_key(F.col("name")).alias("key"), text.name_key(text.drop_latin_article(stripped)).alias("bare"))
     right = candidates.select("district_en", "cand", "cand_ord", text.strip(F.col("cand")).alias("text"))
-    # a pair costs far more than its bytes tell, so small inputs are spread out as well and not packed into few tasks
+    # a pair costs far more than its bytes tell, so tasks get blocks of rows of a district, and their number is given
     spark = names.sparkSession
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    pairs = relational.block_pairs(left.repartition(tasks, "row_id"), right.repartition(tasks, "district_en", "cand"), "district_en")
+    blocks = left.groupBy("district_en").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
+    left = left.join(blocks, "district_en").withColumn("block", F.pmod(F.xxhash64("row_id"), "blocks").cast("int")).drop("blocks")
+    right = right.join(blocks, "district_en").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
+    on = ["district_en", "block"]
+    pairs = relational.block_pairs(left.repartition(tasks, *on), right.repartition(tasks, *on), on)
     kernel = scored(F.col("key"), F.col("bare"), F.col("phrases"), F.col("text"), F.lit(options.by_word))
     return pairs.withColumn("kernel", kernel).select("row_id", "name", "district_en", "cand", "cand_ord", "kernel.via", "kernel.score")
 
