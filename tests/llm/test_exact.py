@@ -12,7 +12,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from toponexus.llm import block_repeats, line_templates, packing, suffix_repeats
+from toponexus.llm import block_repeats, chunks, line_templates, packing, suffix_repeats
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, bucket int, chunk string, row string, kept string"
@@ -298,3 +298,17 @@ def test_carried_columns(spark):
     for found in (block_repeats.remove_repeats(docs, carry=["doc_id", "chunk", "bucket"]), suffix_repeats.remove_repeats(docs, carry=["doc_id", "chunk", "bucket"], chunk_bytes=300)):
         got = found.collect()
         assert all((r.row.doc_id, r.row.chunk, r.row.bucket) == (r.doc_id, "c", 1) for r in got) and len(got) == docs.count()
+
+
+def test_anchors_do_not_depend_on_parts():
+    rng = np.random.default_rng(3)
+    letters = np.frombuffer(b"ab c", dtype=np.uint8)
+    for sizes in ([], [0], [100], [99, 100, 101], [1000, 5, 300, 0, 101]):
+        texts = [bytes(rng.choice(letters, n)) for n in sizes]
+        raw = np.int64(len(texts)).tobytes() + np.arange(len(texts)).tobytes() + np.array(sizes, dtype=np.int64).tobytes() + bytes([1] * len(texts)) + b"".join(texts)
+        chunk = chunks.Chunk(chunks.squeeze(raw))
+        whole = suffix_repeats.Anchors(chunk, 100, 50, 1 << 17)
+        for together in (1, 7, 64):
+            parts = suffix_repeats.Anchors(chunk, 100, 50, together)
+            for field in ("at", "hashes", "near", "far", "doc"):
+                assert np.array_equal(getattr(parts, field), getattr(whole, field))

@@ -38,43 +38,62 @@ from toponexus.llm.hashing import byte_sums, mix, range_hashes, rolling_hashes
 ANCHOR_BITS = 48
 #: Chunks that hold a gram before it counts as hot, and the parts that the distances of its windows fall into.
 HOT, PARTS = 32, 4
+#: Window starts of a chunk that are looked at together; each takes some 70 bytes meanwhile.
+TOGETHER = 1 << 17
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_text string, kept_sha256 string"
 
 
 class Anchors:
     """Anchors of a chunk's windows: positions, hashes, and the windows of each."""
 
-    def __init__(self, chunk: C.Chunk, length: int, gram: int):
-        hashes = rolling_hashes(byte_sums(chunk.data), gram, "bytes")
-        n = len(hashes)
-        low = np.uint64((1 << 32) - 1)
-        least = hashes & ~low
-        least |= np.arange(n, dtype=np.uint64)  # the position breaks ties
-        reach, width = 1, length - gram + 1
-        while 2 * reach <= width:
-            least = np.minimum(least[: len(least) - reach], least[reach:]) if len(least) > reach else least[:0]
-            reach *= 2
-        if reach < width:
-            more = width - reach
-            least = np.minimum(least[: len(least) - more], least[more:]) if len(least) > more else least[:0]
-        fits = np.zeros(len(chunk.data) + 1, dtype=np.int8)  # windows may not cross documents
-        long = chunk.lengths >= length
-        np.add.at(fits, chunk.offsets[:-1][long], 1)
-        np.add.at(fits, chunk.offsets[1:][long] - length + 1, -1)
-        starts = np.flatnonzero(np.cumsum(fits)[: len(least)])
-        at = (least[starts] & low).astype(np.int64)
+    def __init__(self, chunk: C.Chunk, length: int, gram: int, together: int = TOGETHER):
+        # windows may not cross documents
+        docs = np.flatnonzero(chunk.lengths >= length)
+        begins, stops = chunk.offsets[:-1][docs], chunk.offsets[1:][docs] - length + 1
+        parts = [_least_grams(chunk.data, begins, stops, a, min(a + together, len(chunk.data)), length, gram) for a in range(0, max(0, len(chunk.data) - length + 1), together)]
+        at, values, first, last = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64, np.int64))
+        # a run of windows that goes over the end of a part is one run
         new = np.ones(len(at), dtype=bool)
-        # a document's windows go on from the one before, or its anchors differ
         new[1:] = at[1:] != at[:-1]
-        first = np.flatnonzero(new)
-        last = np.concatenate([first[1:], [len(at)]]) - 1 if len(first) else first
+        kept = np.flatnonzero(new)
+        final = np.concatenate([kept[1:], [len(at)]]) - 1 if len(kept) else kept
         # scrambled once more: anchors have small hashes, and buckets are cut from the top bits
-        self.at, self.hashes = at[first], mix(hashes[at[first]])
+        self.at, self.hashes = at[kept], mix(values[kept])
         #: Distances from the anchor's windows to the anchor, least and most.
-        self.near, self.far = self.at - starts[last], self.at - starts[first]
+        self.near, self.far = self.at - last[final], self.at - first[kept]
         self.doc = np.searchsorted(chunk.offsets, self.at, "right") - 1
 
 
+def _least_grams(data: np.ndarray, begins: np.ndarray, stops: np.ndarray, low: int, high: int, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """The anchors of the windows that start from ``low`` to ``high``, and the hash, first and last window of each.
+
+    Windows start inside [begins, stops), sorted ranges that do not overlap.
+    """
+    hashes = rolling_hashes(byte_sums(data[low : high + length - 1]), gram, "bytes")
+    under = np.uint64((1 << 32) - 1)
+    least = hashes & ~under
+    least |= np.arange(low, low + len(hashes), dtype=np.uint64)  # the position breaks ties
+    reach, width = 1, length - gram + 1
+    while 2 * reach <= width:
+        least = np.minimum(least[: len(least) - reach], least[reach:]) if len(least) > reach else least[:0]
+        reach *= 2
+    if reach < width:
+        more = width - reach
+        least = np.minimum(least[: len(least) - more], least[more:]) if len(least) > more else least[:0]
+    fits = np.zeros(len(least) + 1, dtype=np.int32)
+    np.add.at(fits, np.clip(begins - low, 0, len(least)), 1)
+    np.add.at(fits, np.clip(stops - low, 0, len(least)), -1)
+    starts = np.flatnonzero(np.cumsum(fits[:-1]))
+    at = (least[starts] & under).astype(np.int64)
+    new = np.ones(len(at), dtype=bool)
+    # a document's windows go on from the one before, or its anchors differ
+    new[1:] = at[1:] != at[:-1]
+    first = np.flatnonzero(new)
+    last = np.concatenate([first[1:], [len(at)]]) - 1 if len(first) else first
+    at = at[first]
+    return at, hashes[at - low], starts[first] + low, starts[last] + low
+
+
 def _anchor_runs(length: int, gram: int, bits: int):
     def kernel(chunk: C.Chunk):
         keys = np.unique(Anchors(chunk, length, gram).hashes >> np.uint64(64 - ANCHOR_BITS))
@@ -318,7 +337,7 @@ def _finish(length: int, with_bytes: bool, with_text: bool):
     def kernel(chunk: C.Chunk, answers: dict[int, bytes], side: bytes) -> pd.DataFrame:
         at, bucket, copies, near, far = C.unpack_arrays(side)
         flags = np.concatenate([C.unpack_arrays(answers[b])[0] for b in np.unique(bucket).tolist()]) if len(at) else np.zeros(0, dtype=np.uint64)
-        cover = np.zeros(len(chunk.data) + 1, dtype=np.int64)
+        cover = np.zeros(len(chunk.data) + 1, dtype=np.int32)
         some = np.flatnonzero(flags)
         row, d = np.nonzero(np.unpackbits(flags[some].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
         starts = at[some[row]] - d
@@ -326,12 +345,18 @@ def _finish(length: int, with_bytes: bool, with_text: bool):
         np.add.at(cover, starts + length, -1)
         np.add.at(cover, copies - far, 1)  # all windows of a copy
         np.add.at(cover, copies - near + length, -1)
-        gone = np.cumsum(cover)[:-1] > 0
+        gone = np.cumsum(cover, out=cover)[:-1] > 0
         begins = gone.copy()
         begins[1:] &= ~gone[:-1]
         inner = chunk.offsets[:-1][chunk.lengths > 0]
         begins[inner] = gone[inner]
-        removed, spans = (np.concatenate([[0], np.cumsum(x)])[chunk.offsets] for x in (gone, begins))
+        cover[0] = 0
+
+        def before(marks: np.ndarray) -> np.ndarray:
+            np.cumsum(marks, out=cover[1:], dtype=np.int32)
+            return cover[chunk.offsets].astype(np.int64)
+
+        removed, spans = before(gone), before(begins)
         kept = chunk.data[~gone].tobytes()
         edges = (chunk.offsets - removed).tolist()
         slices = [kept[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
