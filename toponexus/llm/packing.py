@@ -116,7 +116,7 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
-def _tokens(path: str, end_id: int, batch_bytes: int = 1 << 20):
+def _tokens(path: str, end_id: int, batch_bytes: int = 1 << 18):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()  # what earlier stages left in this worker
         words, part, at = tokenizer(path), TaskContext.get().partitionId(), 0
