@@ -77,3 +77,7 @@ def parts(request, monkeypatch):
 
 def test_blocked_levenshtein_top1(spark, odd, parts):
     assert compares_names_once(against_sql(spark, odd, "blocked_levenshtein_top1"))
+
+
+def test_blocked_topk5(spark, odd, parts):
+    assert compares_names_once(against_sql(spark, odd, "blocked_topk5"))
