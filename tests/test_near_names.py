@@ -81,3 +81,7 @@ def test_blocked_levenshtein_top1(spark, odd, parts):
 
 def test_blocked_topk5(spark, odd, parts):
     assert compares_names_once(against_sql(spark, odd, "blocked_topk5"))
+
+
+def test_accept_review_split(spark, odd, parts):
+    assert compares_names_once(against_sql(spark, odd, "accept_review_split"))
