@@ -85,3 +85,7 @@ def test_blocked_topk5(spark, odd, parts):
 
 def test_accept_review_split(spark, odd, parts):
     assert compares_names_once(against_sql(spark, odd, "accept_review_split"))
+
+
+def test_review_pivot_top3(spark, odd, parts):
+    assert compares_names_once(against_sql(spark, odd, "review_pivot_top3"))
