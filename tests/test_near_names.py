@@ -89,3 +89,7 @@ def test_accept_review_split(spark, odd, parts):
 
 def test_review_pivot_top3(spark, odd, parts):
     assert compares_names_once(against_sql(spark, odd, "review_pivot_top3"))
+
+
+def test_threshold_filter(spark, odd, parts):
+    assert compares_names_once(against_sql(spark, odd, "threshold_filter"))
