@@ -93,3 +93,7 @@ def test_review_pivot_top3(spark, odd, parts):
 
 def test_threshold_filter(spark, odd, parts):
     assert compares_names_once(against_sql(spark, odd, "threshold_filter"))
+
+
+def test_group_sizes_metrics(spark, odd, parts):
+    assert compares_names_once(against_sql(spark, odd, "group_sizes_metrics"))
