@@ -97,3 +97,7 @@ def test_threshold_filter(spark, odd, parts):
 
 def test_group_sizes_metrics(spark, odd, parts):
     assert compares_names_once(against_sql(spark, odd, "group_sizes_metrics"))
+
+
+def test_greedy_one_to_one(spark, odd, parts):
+    against_sql(spark, odd, "greedy_one_to_one")
