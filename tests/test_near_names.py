@@ -101,3 +101,12 @@ def test_group_sizes_metrics(spark, odd, parts):
 
 def test_greedy_one_to_one(spark, odd, parts):
     against_sql(spark, odd, "greedy_one_to_one")
+
+
+def test_optimal_assignment(spark, tmp_path):
+    """Of two names that both suit two rows, each row gets one, copies of names among its five best or not."""
+    spark.createDataFrame([(0, "aaaa", 0), (1, "aaaa", 0), (2, "zzzz", 0)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame([(0, "AAAA", 0), (1, "aaab", 0), (2, None, 0), (3, "aaab", 0)], "c_custkey long, c_name string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    frame = catalogue.queries()["optimal_assignment"](spark, str(tmp_path))
+    assert {r.cand for r in frame.collect()} == {"AAAA", "aaab"}
+    assert compares_names_once(near_names.best(*catalogue._sides(spark, str(tmp_path)), 5))
