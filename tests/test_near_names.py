@@ -110,3 +110,7 @@ def test_optimal_assignment(spark, tmp_path):
     frame = catalogue.queries()["optimal_assignment"](spark, str(tmp_path))
     assert {r.cand for r in frame.collect()} == {"AAAA", "aaab"}
     assert compares_names_once(near_names.best(*catalogue._sides(spark, str(tmp_path)), 5))
+
+
+def test_sequential_match(spark, odd, parts):
+    against_sql(spark, odd, "sequential_match")
