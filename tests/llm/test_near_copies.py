@@ -60,3 +60,21 @@ def test_stage_finds_near_copies(spark, monkeypatch, small):
     want = kept(rows)
     assert len(want) < len(rows) - 40
     assert got == want
+
+
+def test_no_link_within_a_large_bucket_is_lost(spark, monkeypatch):
+    """Families that share many buckets without being like one another, each with a copy of its own."""
+    monkeypatch.setattr(near_copies, "SMALL", 2)
+    monkeypatch.setattr(near_copies, "BLOCK", 16)
+    rng = random.Random(8)
+    base, texts = [f"w{i}" for i in range(100)], []
+    for family in range(40):
+        words = list(base)
+        at = rng.randrange(95)
+        words[at : at + 3] = [f"f{family}x{i}" for i in range(3)]
+        texts += [" ".join(words), changed(rng, words, 1)]
+    rows = list(enumerate(texts))
+    docs = storage.table(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = near_copies.near_copies(docs)
+    assert sorted({r.component_id for r in got.collect()}) == kept(rows)
+    assert len(kept(rows)) < len(rows) - 30

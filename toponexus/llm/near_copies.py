@@ -4,17 +4,16 @@ SimHash links (operator 5) propose pairs, and so do minhashes: 32 bands of 5 min
 a chance of 3 in a million, and a more similar pair with less. Every proposed pair is then decided by the sets themselves.
 
 Texts with equal sets count once. A band bucket of up to ``SMALL`` sets proposes all its pairs. In a larger one
-all are paired with its most central member, the one whose buckets are largest, which is nearest to what the
-others were copied from. Where the links found leave a bucket in parts, the most central member outside the part of
-the last one is paired with all that are not in its own part, and so on for a number of rounds. A round takes
-rows in proportion to the input, however large a group is. A pair is missed if all buckets that it shares are large
-and neither of the two was ever paired with a set that both link to; ``rounds=None`` goes on until no
-bucket has a member left that was not paired, which misses none but takes as many rounds as a bucket has parts.
+all are first paired with its most central member, the one whose buckets are largest, which is nearest to what the
+others were copied from. Members that the links found leave in different parts are then compared with one another in
+blocks of about ``BLOCK``, by counts of their hashes in ``BINS`` bins: sets share no more than the sum of the lesser counts, so
+a pair that cannot reach the similarity goes, and no other. No pair that shares a bucket is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -32,8 +31,8 @@ WORDS, LEAST = 5, 0.8
 BANDS, MINIMA = 32, 5
 #: Sets of a band bucket that are all paired at once.
 SMALL = 32
-#: Times that a larger bucket is paired with a member.
-ROUNDS = 2
+#: Bins of hashes that a set is told apart by, and members of a larger bucket that a task compares with as many.
+BINS, BLOCK = 256, 512
 _FACTORS = mix(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = mix(np.arange(1 << 20, (1 << 20) + BANDS * MINIMA, dtype=np.uint64))
 
@@ -118,7 +117,43 @@ def _decide(least: float):
     return run
 
 
-def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, grid: Callable[[DataFrame], DataFrame] | None = None, rounds: int | None = ROUNDS) -> DataFrame:
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sets (key, shingles), the counts of hashes in each bin, 255 standing for that or more."""
+    for batch in batches:
+        out = []
+        for one in batch.column(1):
+            bins = mix(np.frombuffer(one.as_buffer(), dtype=np.uint64)) % np.uint64(BINS)
+            out.append(np.minimum(np.bincount(bins.astype(np.int64), minlength=BINS), 255).astype(np.uint8).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["key", "counts"])
+
+
+def _apart(least: float):
+    """Pairs of two blocks (low, high) of a bucket, in different parts, whose counts allow the similarity."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        rows = rows.combine_chunks()
+        own, low, high, n = (rows[c].to_numpy() for c in ("own", "low", "high", "n"))
+        root = rows["root"].combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        counts = np.frombuffer(b"".join(rows["counts"].to_pylist()), dtype=np.uint8).reshape(len(n), BINS)
+        more = (counts == 255).any(axis=1)
+        first = np.flatnonzero(own == low)
+        second = np.flatnonzero(own == high)
+        found: list[tuple[int, int]] = []
+        for i in first.tolist():
+            others = second[(root[second] != root[i]) & ((own[second] != own[i]) | (second > i))]
+            both = n[others] + n[i]
+            most = np.minimum(n[others], n[i])
+            common = np.minimum(counts[others], counts[i]).sum(axis=1, dtype=np.int64)
+            common = np.where(more[others] | more[i], most, np.minimum(common, most))
+            found += [(i, j) for j in others[common + 1e-9 >= least * (both - common)].tolist()]
+        keys = rows["key"].to_pylist()
+        pairs = [sorted((keys[i], keys[j])) for i, j in found]
+        return pa.table([pa.array([x for x, _ in pairs], pa.binary()), pa.array([y for _, y in pairs], pa.binary())], names=["a", "b"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, least: float = LEAST, grid: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Rows (doc_id, component_id): components of documents linked at a similarity of ``least`` or more.
 
     ``grid`` proposes links (a, b) between distinct SimHash fingerprints (column fp); bands propose the rest.
@@ -157,40 +192,39 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         proposed = proposed.union(alike.where("a <> b")).union(near.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
     proposed = keep(proposed.distinct())
 
-    def decided(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    def sets_for(wanted: DataFrame) -> DataFrame:
+        """Rows (key, shingles) for keys."""
         wanted = keep(classes.join(wanted, "key", "left_semi").select("key", "least_id"))
         # one document of a set gives it; those without an id are few or are all looked at
         asked = texts.join(wanted.select(F.col("least_id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
         if not wanted.where("least_id is null").isEmpty():
             asked = asked.unionByName(texts.where("doc_id is null"))
-        sets = asked.select("text").mapInArrow(_sets(words), "key binary, shingles binary").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
-        sets = keep(sets)
+        return asked.select("text").mapInArrow(_sets(words), "key binary, shingles binary").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+
+    def decided(pairs: DataFrame) -> DataFrame:
+        sets = keep(sets_for(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
         left, right = (sets.select(F.col("key").alias(x), F.col("shingles").alias(f"set_{x}")) for x in "ab")
         return keep(pairs.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_decide(least), "a binary, b binary"))
 
     links = decided(proposed)
     found = components.connected(links)
-    led = large.groupBy("band").agg(F.max_by("key", F.struct("weight", "key")).alias("key"))
-    members = large
-    while rounds is None or rounds > 1:
-        placed = members.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-        parts = placed.groupBy("band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("band")
-        placed = keep(placed.join(parts, "band"))
-        # who has led, and what is in the part of the last one, leads no more
-        last = placed.join(led.withColumn("was", F.lit(True)), ["band", "key"]).select("band", F.col("root").alias("last"))
-        ahead = placed.join(last, "band").where("root <> last").join(led, ["band", "key"], "left_anti")
-        pairs = keep(paired(placed, ahead).join(proposed, ["a", "b"], "left_anti"))
-        if pairs.isEmpty():
-            break
-        led = keep(led.union(ahead.groupBy("band").agg(F.max_by("key", F.struct("weight", "key")).alias("key"))))
-        proposed = proposed.union(pairs)
+    placed = large.join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    parts = placed.groupBy("band").agg(F.min("root").alias("least_root"), F.max("root").alias("most_root")).where("least_root <> most_root").select("band")
+    placed = keep(placed.join(parts, "band").select("band", "key", "n", "root"))
+    if not placed.isEmpty():
+        # sets of one class of sizes, or of two neighbouring ones, can be so similar
+        placed = placed.withColumn("size", F.floor(F.log("n") / (-math.log(least) * (1 + 1e-9))))
+        dealt = placed.groupBy("band", "size").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+        code = lambda size, block: size * (1 << 32) + block
+        own = placed.join(dealt, ["band", "size"]).withColumn("own", code(F.col("size"), F.pmod(F.xxhash64("key"), "blocks")))
+        own = own.join(keep(sets_for(placed.select("key").distinct()).mapInArrow(_counts, "key binary, counts binary")), "key")
+        blocks = dealt.select("band", F.col("size").alias("of"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
+        near = blocks.select("band", F.explode(F.array(F.col("of") - 1, "of", F.col("of") + 1)).alias("size"), code(F.col("of"), F.col("block")).alias("other"))
+        met = own.join(near, ["band", "size"]).select("band", "key", "n", "root", "counts", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+        pairs = keep(met.groupBy("band", "low", "high").applyInArrow(_apart(least), "a binary, b binary").distinct().join(proposed, ["a", "b"], "left_anti"))
         more = decided(pairs)
         if not more.isEmpty():
-            links = links.union(more)
-            found = components.connected(links)
-        members = placed.select(large.columns)
-        rounds = None if rounds is None else rounds - 1
+            found = components.connected(links.union(more))
     named = classes.select("key", "least_id").join(found.select(F.col("node").alias("key"), "root"), "key", "left").withColumn("root", F.coalesce("root", "key"))
     component = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return marked.select("doc_id", "key").join(named.join(component, "root").select("key", "component_id"), "key").select("doc_id", "component_id")
