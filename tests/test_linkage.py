@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from toponexus.functions.similarity import pair_score, partial_ratio, ratio, token_set_ratio
 from toponexus.operators import assignment
@@ -131,3 +132,27 @@ def test_district_filter(spark):
     english, arabic, districts, cache = _tables(spark)
     assert {r[1] for r in linkage.match(english, arabic, districts, cache, linkage.Options(district="Akkar")).results.collect()} == {"Akkar"}
     assert {r[1] for r in linkage.match(english, arabic, districts, cache, linkage.Options(district="FIRST")).results.collect()} == {"Metn"}
+
+
+@pytest.mark.parametrize("options", [linkage.Options(threshold=60.0)])
+def test_rows_that_share_a_name_are_scored_once(spark, monkeypatch, options):
+    """The same results as with a score for every row, for fewer pairs."""
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abc") for _ in range(5)) for _ in range(6)]
+    english = spark.createDataFrame([(i, None if i == 7 else rng.choice(names), f"D{i % 2}", None) for i in range(40)], NAMES)
+    arabic = spark.createDataFrame([(i, rng.choice(names) + rng.choice(["", "c"]), f"a{i % 2}", None) for i in range(30)], NAMES)
+    districts = spark.createDataFrame([("D0", "a0"), ("D1", "a1")], "district_en string, district_ar string")
+    cache = spark.createDataFrame([], "token string, cands array<string>")
+    scored, real = [], linkage.score_pairs
+    monkeypatch.setattr(linkage, "score_pairs", lambda *a: scored.append(real(*a)) or scored[-1])
+    out = linkage.match(english, arabic, districts, cache, options)
+    results = sorted(map(repr, out.results.collect()))
+    review = sorted(map(repr, out.review.collect()))
+    assert scored[0].count() <= 2 * 6 * 12
+    # every name its own: a sign that scores do not see tells rows apart
+    apart = english.withColumn("name", F.concat("name", F.repeat(F.lit(" "), F.col("row_id").cast("int"))))
+    alone = linkage.match(apart, arabic, districts, cache, options)
+    bare = lambda frame: frame.withColumn("English Name", F.rtrim("English Name"))
+    assert results == sorted(map(repr, bare(alone.results).collect()))
+    assert review == sorted(map(repr, bare(alone.review).collect()))
+    assert scored[1].count() > 2 * scored[0].count()
