@@ -134,7 +134,7 @@ def test_district_filter(spark):
     assert {r[1] for r in linkage.match(english, arabic, districts, cache, linkage.Options(district="FIRST")).results.collect()} == {"Metn"}
 
 
-@pytest.mark.parametrize("options", [linkage.Options(threshold=60.0)])
+@pytest.mark.parametrize("options", [linkage.Options(threshold=60.0), linkage.Options(threshold=60.0, method="sequential")])
 def test_rows_that_share_a_name_are_scored_once(spark, monkeypatch, options):
     """The same results as with a score for every row, for fewer pairs."""
     rng = random.Random(11)
