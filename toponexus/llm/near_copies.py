@@ -33,6 +33,8 @@ BANDS, MINIMA = 32, 5
 SMALL = 32
 #: Bins of hashes that a set is told apart by, and members of a larger bucket that a task compares with as many.
 BINS, BLOCK = 256, 512
+#: Bits for each id that texts are looked up by, and the most bits of a filter; beyond 4 million ids it lets more texts by.
+ID_BITS, MOST_BITS = 16, 1 << 26
 _FACTORS = mix(np.arange(1, BANDS * MINIMA + 1, dtype=np.uint64)) | np.uint64(1)
 _TERMS = mix(np.arange(1 << 20, (1 << 20) + BANDS * MINIMA, dtype=np.uint64))
 
@@ -87,10 +89,31 @@ def _mark(words: int):
     return run
 
 
-def _sets(words: int):
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """Bytes of a filter with two bits set for each row of ``ids`` (column id, a hash): whoever is in it has both."""
+    size = 64
+    while size < min(ID_BITS * ids.count(), MOST_BITS):
+        size *= 2
+    two = F.array(*(c.bitwiseAND(F.lit(size - 1).cast("long")) for c in (F.col("id"), F.shiftright("id", 32))))
+    words = ids.select(F.explode(two).alias("place")).groupBy(F.shiftright("place", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))").alias("bits")).toArrow()
+    out = np.zeros(size // 64, dtype="<u8")
+    out[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return out.view(np.uint8)
+
+
+def in_filter(held: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Whether each of the hashes may be in the filter."""
+    bit = lambda place: (held[place >> 3] >> (place & 7).astype(np.uint8)) & np.uint8(1)
+    return (bit(ids & (8 * len(held) - 1)) & bit((ids >> 32) & (8 * len(held) - 1))).astype(bool)
+
+
+def _sets(words: int, held: np.ndarray):
+    """Of rows (id, text), the sets of those in the filter."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, texts in text_blocks(batch, 0):
+            batch = batch.filter(pa.array(in_filter(held, batch.column(0).to_numpy())))
+            for _, _, texts in text_blocks(batch, 1):
                 values, bounds = sets_of(*shingle_hashes(texts, words))
                 raw = [values[x:y].tobytes() for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(set_keys(values, bounds), pa.binary()), pa.array(raw, pa.binary())], ["key", "shingles"])
@@ -195,11 +218,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def sets_for(wanted: DataFrame) -> DataFrame:
         """Rows (key, shingles) for keys."""
         wanted = keep(classes.join(wanted, "key", "left_semi").select("key", "least_id"))
-        # one document of a set gives it; those without an id are few or are all looked at
-        asked = texts.join(wanted.select(F.col("least_id").alias("doc_id")).where("doc_id is not null").distinct(), "doc_id", "left_semi")
-        if not wanted.where("least_id is null").isEmpty():
-            asked = asked.unionByName(texts.where("doc_id is null"))
-        return asked.select("text").mapInArrow(_sets(words), "key binary, shingles binary").join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
+        # one document of a set gives it. Texts are not exchanged: a filter picks them where they are read, and what it lets by besides has another key.
+        held = id_filter(wanted.select(F.xxhash64("least_id").alias("id")))
+        sets = texts.select(F.xxhash64("doc_id").alias("id"), "text").mapInArrow(_sets(words, held), "key binary, shingles binary")
+        return sets.join(wanted.select("key"), "key", "left_semi").groupBy("key").agg(F.first("shingles").alias("shingles"))
 
     def decided(pairs: DataFrame) -> DataFrame:
         sets = keep(sets_for(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()))
