@@ -76,3 +76,26 @@ def test_optimal_keeps_the_best_of_each_name(spark, monkeypatch):
     review = {(r[0], r[1]): r for r in out.review.collect()}
     for row in english:
         assert _review(review[row[1], row[2]]) == [(s, x, via) for s, _, x, via in ranked(row, True)[:3]]
+
+
+@pytest.mark.parametrize("by_word", [True, False])
+def test_sequential_finds_what_is_free_beyond_the_best(spark, monkeypatch, by_word):
+    _small(monkeypatch)
+    english, left, right, districts, cache, ranked = _sides(spark)
+    searches, real = [], best_scores.first_free
+    monkeypatch.setattr(best_scores, "first_free", lambda *a: searches.append(1) or real(*a))
+    made, scored = [], linkage.score_pairs
+    monkeypatch.setattr(linkage, "score_pairs", lambda *a: made.append(scored(*a)) or made[-1])
+    options = linkage.Options(method="sequential", threshold=70.0, by_word=by_word)
+    out = linkage.match(left, right, districts, cache, options)
+    taken, want = set(), []
+    for row in english:
+        score, _, name, _ = next(x for x in ranked(row, by_word) if x[2] not in taken)
+        taken.update([name] if score >= 70.0 else [])
+        want.append((row[1], row[2], name, score))
+    assert sorted(map(tuple, out.results.collect())) == sorted(want)
+    assert (searches or not by_word) and made[0].count() < len({(r[1], r[2]) for r in english}) * 20
+    for r in out.review.collect():
+        assert _review(r) == [(s, x, via) for s, _, x, via in ranked((0, r[0], r[1], None), by_word)[:3]]
+    names = {d: {x[2] for x in ranked((0, "mary", d, None), by_word)} for d in ("D0", "D1")}
+    assert {r.group: r.cand_count for r in out.metrics.collect()} == {d: len(x) for d, x in names.items()}
